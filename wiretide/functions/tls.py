@@ -49,6 +49,9 @@ class _Cursor:
         self.at += width
         return int.from_bytes(raw, "big")
 
+    def skip(self, width: int) -> None:
+        self.at += width
+
     def block(self, width: int) -> bytes:
         raw = self.data[self.at:self.at + width]
         self.at += width
@@ -70,10 +73,10 @@ def _decode(payload: bytes | None) -> tuple:
     cursor = _Cursor(payload, 9)
     try:
         version = cursor.number(2)
-        cursor.at += 32
-        cursor.at += cursor.number(1)
+        cursor.skip(32)
+        cursor.skip(cursor.number(1))
         ciphers = _shorts(cursor.block(cursor.number(2)))
-        cursor.at += cursor.number(1)
+        cursor.skip(cursor.number(1))
         if cursor.at + 2 <= len(payload):
             body = _Cursor(cursor.block(cursor.number(2)))
             while body.at + 4 <= len(body.data):

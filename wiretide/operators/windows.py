@@ -201,7 +201,7 @@ def hosts(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.fillna(zeros)
 
 
-def candidate_hosts(host_rows: DataFrame) -> DataFrame:
+def candidate_hosts(host_rows: DataFrame, min_packets: int = 50, min_fan_out: int = 5) -> DataFrame:
     """Busy receivers and active probers: the only hosts worth scoring with a model."""
-    return host_rows.filter((F.col("in_packets") >= 50) | (F.col("out_max_ports_on_one_host") >= 5)
-                            | (F.col("out_max_hosts_on_one_port") >= 5))
+    return host_rows.filter((F.col("in_packets") >= min_packets) | (F.col("out_max_ports_on_one_host") >= min_fan_out)
+                            | (F.col("out_max_hosts_on_one_port") >= min_fan_out))

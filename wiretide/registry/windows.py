@@ -172,12 +172,13 @@ def host_full_outer(spark, sf_dir):
         "out_packets", _r("out_probe_ratio"), "out_max_ports_on_one_host", "out_max_hosts_on_one_port", "out_unique_targets")
 
 
-_CANDIDATE = "in_packets >= 50 or out_max_ports_on_one_host >= 5 or out_max_hosts_on_one_port >= 5"
+# Lower than in production, where the thresholds are 50 and 5
+_CANDIDATE = "in_packets >= 20 or out_max_ports_on_one_host >= 2 or out_max_hosts_on_one_port >= 2"
 
 
 @query("host_candidates", _HOSTS + f"select window_start_us, host, in_packets, out_packets from hosts where {_CANDIDATE}")
 def host_candidates(spark, sf_dir):
-    return w.candidate_hosts(host_rows(spark, sf_dir)).select("window_start_us", "host", "in_packets", "out_packets")
+    return w.candidate_hosts(host_rows(spark, sf_dir), 20, 2).select("window_start_us", "host", "in_packets", "out_packets")
 
 
 @query("host_vector", _HOSTS + """
