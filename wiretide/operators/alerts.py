@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wiretide.config import SECOND_US, CooldownConfig
-from wiretide.operators.chain import greedy_chain
+from wiretide.operators.chain import greedy_chain, materialize
 
 
 def severity(confidence: Column) -> Column:
@@ -27,20 +27,23 @@ def to_alerts(detections: DataFrame) -> DataFrame:
         *[filled[name].alias(name) for name in ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "threat_class")],
         severity(filled["confidence_score"]).alias("severity"), filled["confidence_score"].alias("confidence_score"),
         filled["evidence"].alias("evidence"),
-        F.concat(key, F.lit("_"), filled["threat_class"]).alias("dedup_key"))
+        F.concat(key, F.lit("_"), filled["threat_class"]).alias("dedup_key"),
+        *[name for name in ("order_us", "kind", "explain_class", "features") if name in detections.columns])
 
 
 def suppress_repeats(alerts: DataFrame, cfg: CooldownConfig = CooldownConfig(), key: str = "dedup_key") -> DataFrame:
     """Publish an alert unless one with the same key was published less than the cooldown before.
 
-    Suppressed alerts do not extend the cooldown. Of alerts with equal key and time the first by flow
-    and class is the one considered.
+    Suppressed alerts do not extend the cooldown. Of alerts with equal key and time the first by flow,
+    class and ``order_us`` is the one considered.
     """
-    rows = alerts.withColumn("_us", F.unix_micros("ts"))
+    # Alerts are few next to what they were computed from, and are read several times below
+    rows = materialize(alerts.withColumn("_us", F.unix_micros("ts")))
     kept = greedy_chain(rows, [key], "_us", cfg.cooldown_us, cfg.chain_array_limit)
     columns = alerts.columns
+    order = ["flow_id", "threat_class", *(["order_us"] if "order_us" in columns else ["id"] if "id" in columns else []), "evidence"]
     first = (rows.groupBy(key, "_us")
-             .agg(F.min_by(F.struct(*columns), F.struct("flow_id", "threat_class", "src_ip", "dst_ip", "evidence")).alias("a")))
+             .agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("a")))
     return first.join(kept, [key, "_us"], "left_semi").select("a.*")
 
 

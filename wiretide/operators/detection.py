@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wiretide.operators.detectors import FLOOD, SCAN, THREAT_LEVEL, Detector
+from wiretide.operators.detectors import THREAT_LEVEL, Detector
 from wiretide.operators.features import fill_defaults
 
 MODEL_ONLY_CAP = 0.89
 BOTH_CAP = 0.99
-DETECTION_COLUMNS = ("ts_us", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "dedup_key",
+# ``order_us`` (flow or window start) breaks ties between detections with equal time and flow
+DETECTION_COLUMNS = ("ts_us", "order_us", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "dedup_key",
                      "threat_class", "confidence_score", "evidence")
 
 
@@ -74,12 +75,13 @@ def flow_detections(features: DataFrame, detectors: list[Detector], model: bool
                     threshold: float = 0.85) -> DataFrame:
     """One row per detection on a flow. With ``model`` the rows carry ml_class, ml_prob and ml_probs."""
     rows = fill_defaults(features)
-    keep = ["last_us", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
+    keep = ["last_us", "flow_start_us", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
     if model:
         keep.append("features")
     chosen = [d for d in detectors if d.grain == "flow"]
     out = _explode(rows, chosen, [], model, threshold, keep)
-    return _finish(out.withColumnRenamed("last_us", "ts_us").withColumn("dedup_key", F.lit(None).cast("string")), model)
+    return _finish(out.withColumns({"ts_us": F.col("last_us"), "order_us": F.col("flow_start_us"),
+                                    "dedup_key": F.lit(None).cast("string")}), model)
 
 
 def _window_bounds() -> list[Column]:
@@ -90,10 +92,10 @@ def target_detections(targets: DataFrame, detectors: list[Detector], model: bool
                       threshold: float = 0.85) -> DataFrame:
     """Fan-in detections with a synthetic flow: top source to the target, deduplicated per target."""
     rows = targets.withColumn("src_ip", F.element_at("top_sources", 1))
-    keep = ["src_ip", "dst_ip", "top_dst_port", "protocol", "last_ts_us"] + (["features"] if model else [])
+    keep = ["window_start_us", "src_ip", "dst_ip", "top_dst_port", "protocol", "last_ts_us"] + (["features"] if model else [])
     out = _explode(rows, [d for d in detectors if d.grain == "target"], _window_bounds(), model, threshold, keep)
     return _finish(out.withColumns({
-        "ts_us": F.col("last_ts_us"), "src_port": F.lit(0), "dst_port": F.col("top_dst_port"),
+        "ts_us": F.col("last_ts_us"), "order_us": F.col("window_start_us"), "src_port": F.lit(0), "dst_port": F.col("top_dst_port"),
         "flow_id": F.format_string("%s:*->%s:%s_%s", "src_ip", "dst_ip", F.col("top_dst_port").cast("string"), "protocol"),
         "dedup_key": F.concat(F.lit("*->"), F.col("dst_ip"))}), model)
 
@@ -111,11 +113,9 @@ def scan_flow() -> dict[str, Column]:
 def source_detections(sources: DataFrame, detectors: list[Detector], model: bool = False,
                       threshold: float = 0.85) -> DataFrame:
     """Fan-out detections with a synthetic flow from the scanning host."""
-    keep = ["src_ip", "protocol", "last_ts_us", "max_ports_on_one_host", "max_hosts_on_one_port", "vertical_target",
+    keep = ["window_start_us", "src_ip", "protocol", "last_ts_us", "max_ports_on_one_host", "max_hosts_on_one_port", "vertical_target",
             "horizontal_port"] + (["features"] if model else [])
     out = _explode(sources, [d for d in detectors if d.grain == "source"], _window_bounds(), model, threshold, keep)
-    return _finish(out.withColumns({"ts_us": F.col("last_ts_us"), "src_port": F.lit(0),
+    return _finish(out.withColumns({"ts_us": F.col("last_ts_us"), "order_us": F.col("window_start_us"), "src_port": F.lit(0),
                                     "dedup_key": F.lit(None).cast("string"), **scan_flow()}), model)
 
-
-WINDOW_CLASSES = (FLOOD, SCAN)

@@ -1 +1,240 @@
+"""Label joins, metrics, calibration and model queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wiretide.config import DetectionConfig
+from wiretide.fixtures import ctes, view
+from wiretide.models import evaluation as ev
+from wiretide.models import forest
+from wiretide.operators.chain import materialize
+from wiretide.operators.detection import opinion
+from wiretide.operators.features import fill_defaults, flow_features, with_flow_vector, with_host_vector
+from wiretide.operators.detectors import beaconing, exfiltration
+from wiretide.operators.flows import flows
+from wiretide.operators.windows import candidate_hosts
+from wiretide.plans import analytics, detection
+from wiretide.registry import query
+from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, IDLE, flow_ctes
+from wiretide.registry.windows import _CANDIDATE, _HOSTS, LOW_FLOOD, LOW_SCAN, host_rows, packets
+
+SCORES = ctes("v_scores")
+
+
+def scores(spark, sf_dir):
+    return view(spark, sf_dir, "v_scores")
+
+
+def labelled_flows(spark, sf_dir):
+    rows = flow_features(flows(packets(spark, sf_dir), IDLE, splt=False))
+    return ev.label_flows(rows, view(spark, sf_dir, "v_flow_labels"))
+
+
+_FLOW_LABELS = flow_ctes(None, ("v_packets", "v_flow_labels")) + """,
+lf as (select ff.*, cls label from ff join v_flow_labels using (src_ip, dst_ip, src_port, dst_port, protocol))"""
+
+
+@query("flow_label_join", _FLOW_LABELS + "select flow_id, flow_start_us, label from lf")
+def flow_label_join(spark, sf_dir):
+    return labelled_flows(spark, sf_dir).select("flow_id", "flow_start_us", "label")
+
+
+@query("label_counts", _FLOW_LABELS + "select label, count(*) n from lf group by label")
+def label_counts(spark, sf_dir):
+    return ev.class_counts(labelled_flows(spark, sf_dir))
+
+
+@query("balanced_weights", _FLOW_LABELS + """
+select label, round((select count(*) from lf) / ((select count(distinct label) from lf) * count(*)), 6) weight, count(*) n from lf group by label""")
+def balanced_weights(spark, sf_dir):
+    rows = forest.with_balanced_weights(labelled_flows(spark, sf_dir).select("label"))
+    return rows.groupBy("label", F.round("weight", 6).alias("weight")).agg(F.count("*").alias("n"))
+
+
+_HOST_LABELS = _HOSTS + """,
+ovl as (select window_start_us, host, arg_max(cls, label_seq) cls from hosts join hl on ip = host
+  and least(window_start_us + 3000000, t_end_us) - greatest(window_start_us, t_start_us) >= 800000 group by all),
+lh as (select h.*, coalesce(cls, 'benign') label from hosts h left join ovl using (window_start_us, host))"""
+_HOST_LABELS = _HOST_LABELS.replace(",\nbnd as", ",\nhl as (" + ctes("v_host_labels").split("as materialized (", 1)[1][:-1] + "),\nbnd as", 1)
+
+
+def labelled_hosts(spark, sf_dir, rows=None):
+    return ev.label_host_windows(host_rows(spark, sf_dir) if rows is None else rows, view(spark, sf_dir, "v_host_labels"))
+
+
+@query("host_interval_label_join", _HOST_LABELS + "select window_start_us, host, label from lh")
+def host_interval_label_join(spark, sf_dir):
+    return labelled_hosts(spark, sf_dir).select("window_start_us", "host", "label")
+
+
+@query("host_training_rows", _HOST_LABELS + f"select window_start_us, host, label from lh where {_CANDIDATE}")
+def host_training_rows(spark, sf_dir):
+    return candidate_hosts(labelled_hosts(spark, sf_dir), 20, 2).select("window_start_us", "host", "label")
+
+
+# ---- metrics on stub scores ---------------------------------------------------------------------
+
+_STUB = SCORES + """,
+z as (select *, case when id % 3 = 0 then 'benign' else threat_class end y, case when prob >= 0.3 then threat_class else 'benign' end p from v_scores)"""
+
+
+def _stub(spark, sf_dir):
+    return scores(spark, sf_dir).withColumns({"y": F.when(F.col("id") % 3 == 0, "benign").otherwise(F.col("threat_class")),
+                                              "p": F.when(F.col("prob") >= 0.3, F.col("threat_class")).otherwise("benign")})
+
+
+def _metrics_sql(predicted, extra=""):
+    return f"""select cls, round(case when cl > 0 then hit / cl else 0 end, 4) "precision", round(case when su > 0 then hit / su else 0 end, 4) recall,
+ round(case when su + cl > 0 then 2 * hit / (su + cl) else 0 end, 4) f1, su support{extra} from (select cls, count(*) filter (y = cls and {predicted} = cls) hit,
+ count(*) filter (y = cls) su, count(*) filter ({predicted} = cls) cl from z, (select distinct threat_class cls from v_scores) group by cls)"""
+
+
+@query("confusion_metrics", _STUB + _metrics_sql("p"))
+def confusion_metrics(spark, sf_dir):
+    return ev.per_class(_stub(spark, sf_dir), "y", "p")
+
+
+@query("benign_false_positives", _STUB + """
+select round(count(*) filter (y = 'benign' and p <> 'benign') / count(*) filter (y = 'benign'), 5) benign_false_positive_rate, count(*) filter (y = 'benign') benign_support from z""")
+def benign_false_positives(spark, sf_dir):
+    return ev.benign_false_positives(_stub(spark, sf_dir), "y", "p")
+
+
+_VARIANTS = SCORES + """,
+z as (select *, case when id % 3 = 0 then 'benign' else threat_class end y, case when confidence_score >= 0.85 then threat_class else 'benign' end rl,
+  case when prob >= 0.3 then threat_class else 'benign' end ml from v_scores),
+"""
+_VARIANTS = _VARIANTS.rstrip(",\n") + ", zz as (select *, case when rl <> 'benign' then rl else ml end hy from z)"
+
+
+@query("variant_comparison", (_VARIANTS + " select * from (" + " union all ".join(
+    _metrics_sql(c, f", '{v}' variant").replace("from z,", "from zz,") for c, v in (("rl", "rules"), ("ml", "model"), ("hy", "hybrid"))) + ")"))
+def variant_comparison(spark, sf_dir):
+    rows = _stub(spark, sf_dir).withColumns({
+        "rule_label": F.when(F.col("confidence_score") >= 0.85, F.col("threat_class")).otherwise("benign"),
+        "model_label": ev.model_label(0.3, "threat_class", "prob")})
+    return ev.comparison(rows, "y")
+
+
+@query("variant_table", _VARIANTS + """,
+c as (select distinct threat_class cls from v_scores),
+t as (select cls, count(*) filter (y = cls) su, count(*) filter (y = cls and rl = cls) r, count(*) filter (y = cls and ml = cls) m, count(*) filter (y = cls and hy = cls) h,
+  count(*) filter (hy = cls) hc from zz, c group by cls)
+select cls, round(r / su, 4) rules_recall, round(m / su, 4) model_recall, round(h / su, 4) hybrid_recall, round(h / hc, 4) hybrid_precision, su support from t""")
+def variant_table(spark, sf_dir):
+    return ev.comparison_table(variant_comparison(spark, sf_dir))
+
+
+@query("flow_rule_labels", flow_ctes(None) + f""",
+sc as (select flow_id, flow_start_us, {BEACON_SQL} b, {EXFIL_SQL} e from ff)
+select flow_id, flow_start_us, case when b >= 0.7 and b >= e then 'Botnet_C2_Beaconing' when e >= 0.7 then 'Data_Exfiltration' else 'benign' end rule_label from sc""")
+def flow_rule_labels(spark, sf_dir):
+    rows = fill_defaults(flow_features(flows(packets(spark, sf_dir), IDLE, splt=False)))
+    return rows.select("flow_id", "flow_start_us", ev.rule_label([beaconing(), exfiltration()]).alias("rule_label"))
+
+
+@query("score_quantile", SCORES + "select count(*) n, round(quantile_cont(prob * confidence_score, 0.9995), 9) quantile from v_scores")
+def score_quantile(spark, sf_dir):
+    rows = scores(spark, sf_dir).withColumn("s", F.col("prob") * F.col("confidence_score"))
+    return ev.exact_quantile(rows, "s", 0.9995).withColumn("quantile", F.round("quantile", 9))
+
+
+@query("threshold_calibration", SCORES + """
+select 'flow' kind, count(*) n, round(least(0.995, greatest(0.85, quantile_cont(prob, 0.9) + 1e-6)), 4) threshold from v_scores""")
+def threshold_calibration(spark, sf_dir):
+    return ev.threshold(scores(spark, sf_dir), "flow", "prob", budget=0.1)
+
+
+# ---- hybrid merge with a stub probability -------------------------------------------------------
+
+_HYBRID = SCORES + """,
+o as (select *, confidence_score >= 0.85 fired, id % 4 <> 0 speaks from v_scores),
+m as (select id, threat_class, fired, case when not fired and speaks and prob >= 0.6 then true else false end only_model,
+  speaks and prob >= 0.6 agrees, confidence_score c, prob p from o)"""
+
+
+def _hybrid(spark, sf_dir):
+    fired = F.col("confidence_score") >= 0.85
+    # The stub prefers the rule's class except on every fourth row, where it says benign
+    speaks = F.col("id") % 4 != 0
+    cls = F.when(speaks, F.col("threat_class")).otherwise(F.lit("benign"))
+    parts = opinion(F.col("confidence_score"), F.col("threat_class"), fired, cls, F.col("prob"),
+                    F.when(speaks, F.col("prob")).otherwise(F.lit(0.0)), 0.6)
+    return scores(spark, sf_dir).withColumns({**parts, "fired": fired})
+
+
+@query("hybrid_merge", _HYBRID + """
+select id, threat_class, round(case when only_model then least(0.89, p) when agrees then least(0.99, greatest(c, p)) else c end, 4) confidence_score,
+ case when only_model then 'AI model' when agrees then 'Rules + AI model' else 'Rules' end detected_by from m where fired or only_model""")
+def hybrid_merge(spark, sf_dir):
+    return _hybrid(spark, sf_dir).filter("alerts").select("id", "threat_class", "confidence_score", "detected_by")
+
+
+@query("model_only_anti", _HYBRID + "select id, threat_class, round(least(0.89, p), 4) confidence_score from m where only_model")
+def model_only_anti(spark, sf_dir):
+    return _hybrid(spark, sf_dir).filter("alerts and not fired").select("id", "threat_class", "confidence_score")
+
+
+@query("alerts_by_detection_source", SCORES + """,
+d as (select *, case when prob >= 0.6 then 'Rules + AI model' else 'Rules' end detected_by from v_scores)
+select threat_class, detected_by, count(*) n, count(*) filter (src_ip = '10.0.1.3' or dst_ip = '10.0.1.3') involving, round(10000.0 * count(*) / 5000, 2) per_10k_flows from d group by all""")
+def alerts_by_detection_source(spark, sf_dir):
+    tagged = scores(spark, sf_dir).withColumn("evidence", F.when(F.col("prob") >= 0.6, F.lit('{"detected_by":"Rules + AI model"}')).otherwise(F.lit("{}")))
+    return analytics.by_detection_source(tagged, 5000, "10.0.1.3")
+
+
+# ---- forests (not expressible in SQL) -----------------------------------------------------------
+
+def _flow_training(spark, sf_dir):
+    return with_flow_vector(labelled_flows(spark, sf_dir)).select("features", "label")
+
+
+def _host_training(spark, sf_dir, rows):
+    return with_host_vector(candidate_hosts(labelled_hosts(spark, sf_dir, rows), 20, 2)).select("features", "label")
+
+
+def _fit(kind, rows):
+    return forest.train(kind, rows, trees=10, depth=6)
+
+
+@query("ml_flow_scores")
+def ml_flow_scores(spark, sf_dir):
+    model = _fit("flow", _flow_training(spark, sf_dir))
+    rows = with_flow_vector(flow_features(flows(packets(spark, sf_dir), IDLE, splt=False)))
+    return forest.predict(rows, model, forest.CLASSES["flow"]).select("flow_id", "flow_start_us", "ml_class", F.round("ml_prob", 6).alias("ml_prob"))
+
+
+@query("ml_host_scores")
+def ml_host_scores(spark, sf_dir):
+    hosts = materialize(host_rows(spark, sf_dir))
+    model = _fit("host", _host_training(spark, sf_dir, hosts))
+    rows = with_host_vector(candidate_hosts(hosts, 20, 2))
+    return forest.predict(rows, model, forest.CLASSES["host"]).select("window_start_us", "host", "ml_class", F.round("ml_prob", 6).alias("ml_prob"))
+
+
+@query("ml_explain")
+def ml_explain(spark, sf_dir):
+    rows = _flow_training(spark, sf_dir)
+    model = _fit("flow", rows)
+    factors = forest.explain_column(spark, model, "flow", forest.CLASSES["flow"], target="label")
+    return (rows.filter("label <> 'benign'").select("label", F.explode(factors).alias("f"))
+            .groupBy("label", F.col("f.feature").alias("feature"))
+            .agg(F.count("*").alias("n"), F.round(F.avg("f.contribution"), 4).alias("mean_contribution")))
+
+
+@query("ml_feature_importance")
+def ml_feature_importance(spark, sf_dir):
+    flow_model = _fit("flow", _flow_training(spark, sf_dir))
+    return forest.feature_importance(forest.ThreatModel(flow_model, flow_model), "flow").limit(10)
+
+
+@query("ml_hybrid_alerts")
+def ml_hybrid_alerts(spark, sf_dir):
+    """The whole detection with rules and forests: published alerts per class and source."""
+    model = forest.ThreatModel(_fit("flow", _flow_training(spark, sf_dir)),
+                               _fit("host", _host_training(spark, sf_dir, materialize(host_rows(spark, sf_dir)))),
+                               {"flow": 0.5, "host": 0.5})
+    cfg = DetectionConfig(flood=LOW_FLOOD, scan=LOW_SCAN)
+    alerts = detection.run(packets(spark, sf_dir), cfg, model)
+    return alerts.groupBy("threat_class", F.get_json_object("evidence", "$.detected_by").alias("detected_by")).agg(F.count("*").alias("n"))
