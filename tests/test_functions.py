@@ -54,10 +54,11 @@ def test_tunnel_and_empty_record(spark):
         assert not empty.is_tunnel_suspect
 
 
-def test_long_names_are_scored_whole(spark):
-    label = "q7x9z2k4" * 7
-    row = analyze(names(spark, [f"{label}.{label}.example.com"])).first()
-    assert row.subdomain_length == 2 * len(label) + 1 and row.is_tunnel_suspect is False or row.is_tunnel_suspect
+def test_long_labels_need_entropy(spark):
+    varied, dull = "abcdefghijklmnopqrstuvwxyz0123456789", "q7x9z2k4" * 7
+    rows = {r.domain[:4]: r for r in analyze(names(spark, [f"{varied}.example.com", f"{dull}.example.com"])).collect()}
+    assert rows["abcd"].is_tunnel_suspect and rows["abcd"].subdomain_length == 36
+    assert not rows["q7x9"].is_tunnel_suspect and rows["q7x9"].max_label_length == 56
 
 
 def test_suffix_join(spark):

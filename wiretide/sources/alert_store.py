@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wiretide.functions.text import parsed
 from wiretide.operators.alerts import with_ids
@@ -48,7 +48,8 @@ def try_read(spark: SparkSession, path: str) -> DataFrame | None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return None
-    return spark.read.schema(ALERT_SCHEMA.add("batch", "long").add("day", "date")).parquet(path)
+    partitions = [T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())]
+    return spark.read.schema(T.StructType([*ALERT_SCHEMA.fields, *partitions])).parquet(path)
 
 
 def parse_alerts(stored: DataFrame) -> DataFrame:
