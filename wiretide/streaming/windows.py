@@ -27,8 +27,8 @@ def _prepared(packets: DataFrame, lateness: str) -> DataFrame:
 def fan_in_stream(packets: DataFrame, cfg: WindowConfig = WindowConfig(), lateness: str = LATENESS, exact: bool = False) -> DataFrame:
     """Target aggregates per closed window, with the columns the flood rule needs."""
     rows = _prepared(packets, lateness).withColumn("w", _window(cfg))
-    second = F.floor((F.col("ts_us") - F.unix_micros("w.start")) / F.lit(1_000_000))
-    peaks = [F.count_if(second == i) for i in range(cfg.seconds)]
+    rows = rows.withColumn("second", F.floor((F.col("ts_us") - F.unix_micros("w.start")) / F.lit(1_000_000)))
+    peaks = [F.count_if(F.col("second") == i) for i in range(cfg.seconds)]
     n = F.count("*")
     return (rows.groupBy("w", "dst_ip")
             .agg(n.alias("packets"), F.sum("packet_length").alias("bytes"),
