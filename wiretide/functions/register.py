@@ -6,11 +6,11 @@ from pyspark.sql import SparkSession
 
 from wiretide.functions.dns import decode_question
 from wiretide.functions.domain import TWO_LEVEL_SUFFIXES
-from wiretide.functions.net import INTERNAL_V4, _V6_INTERNAL_PATTERN, _v4_range
+from wiretide.functions.net import INTERNAL_V4, _V6_INTERNAL_PATTERN, v4_range
 from wiretide.functions.tls import decode_client_hello
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in TWO_LEVEL_SUFFIXES)
-_RANGES = " or ".join("n between {} and {}".format(*_v4_range(c)) for c in INTERNAL_V4)
+_RANGES = " or ".join("n between {} and {}".format(*v4_range(c)) for c in INTERNAL_V4)
 _NUMBER = " + ".join(f"cast(split_part(ip, '.', {i + 1}) as bigint) * {256 ** (3 - i)}" for i in range(4))
 
 # SQL functions are inlined by the optimizer, so they cost no more than the written-out expression

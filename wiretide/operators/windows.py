@@ -115,14 +115,12 @@ def top_sources(facets: DataFrame, limit: int = 5) -> DataFrame:
             .select(*keys, F.transform(F.array_sort("ranked"), lambda x: x["src_ip"]).alias("top_sources")))
 
 
-def fan_in(panes: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
-    """Target aggregates: one row per window and destination host."""
-    facets = target_facets(window_rows(panes, cfg), cfg)
+def target_totals(facets: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
+    """All target figures except the list of top sources."""
     source = F.col("facet") == "source"
     seconds = [f"second_{i}" for i in range(cfg.seconds)]
-    keys = ["window_start_us", "dst_ip"]
     n = F.col("packets")
-    totals = (facets.groupBy(*keys)
+    totals = (facets.groupBy("window_start_us", "dst_ip")
               .agg(F.sum(F.when(source, F.col("n")).otherwise(F.lit(0))).alias("packets"),
                    *_sum_where(source, "bytes", "syn_only", *seconds, *_COUNTS),
                    F.count_if(source).alias("unique_sources"),
@@ -131,58 +129,83 @@ def fan_in(panes: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
                    F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"),
                    *[F.min(c).alias(c) for c in _FIRSTS]))
     peak = F.greatest(*seconds) if len(seconds) > 1 else F.col(seconds[0])
-    return totals.join(top_sources(facets), keys).select(
+    return totals.select(
         "window_start_us", (F.col("window_start_us") + F.lit(cfg.size_us)).alias("window_end_us"), "dst_ip",
         "packets", "bytes", peak.alias("peak_pps"), (F.col("syn_only") / n).alias("syn_only_ratio"),
         (F.col("n_UDP") / n).alias("udp_ratio"), "unique_sources",
         F.greatest(F.lit(0.0), F.log2(n.cast("double")) - F.col("n_log_n") / n).alias("source_ip_entropy"),
-        "top_sources", "top_dst_port", _modal_protocol().alias("protocol"), "first_ts_us", "last_ts_us")
+        "top_dst_port", _modal_protocol().alias("protocol"), "first_ts_us", "last_ts_us")
+
+
+def fan_in(panes: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
+    """Target aggregates: one row per window and destination host."""
+    facets = target_facets(window_rows(panes, cfg), cfg)
+    return target_totals(facets, cfg).join(top_sources(facets), ["window_start_us", "dst_ip"])
 
 
-def probe_facets(rows: DataFrame) -> DataFrame:
-    """Per (window, source): fan-out over hosts and over ports.
+def with_top_sources(targets: DataFrame, panes: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
+    """Add the top sources to a few targets; only their pane rows are shuffled."""
+    keys = ["window_start_us", "dst_ip"]
+    rows = window_rows(panes, cfg).join(targets.select(*keys), keys, "left_semi")
+    return targets.join(top_sources(target_facets(rows, cfg)), keys)
 
-    Distinct pairs come first, then one grouping-sets shuffle gives a row per contacted host (with its
-    probed ports, at most 65,536) and a row per probed port.
-    """
-    keys = ["window_start_us", "src_ip"]
-    pairs = rows.groupBy(*keys, "dst_ip", "dst_port").agg(
+
+_SOURCE = ["window_start_us", "src_ip"]
+
+
+def probe_pairs(rows: DataFrame) -> DataFrame:
+    """Packets and probes per (window, source, destination, port)."""
+    return rows.groupBy(*_SOURCE, "dst_ip", "dst_port").agg(
         F.sum("packets").alias("packets"), F.sum("probes").alias("probes"), F.min("first_probe").alias("first_probe"),
         F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"), *_protocol_parts())
-    probed = F.col("probes") > 0
-    pairs = pairs.withColumn("probed_port", F.when(probed, F.col("dst_port")))
-    sets = pairs.groupingSets([[*keys, "dst_ip"], [*keys, "dst_port"]], *keys, "dst_ip", "dst_port")
-    return (sets.agg(F.grouping("dst_ip").alias("by_port"), F.sum("packets").alias("packets"), F.sum("probes").alias("probes"),
-                     F.count("probed_port").alias("fan"), F.collect_set("probed_port").alias("probed_ports"),
-                     F.min("first_probe").alias("first_probe"),
-                     F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"),
-                     *[F.sum(c).alias(c) for c in _COUNTS], *[F.min(c).alias(c) for c in _FIRSTS])
-            .withColumn("facet", F.when(F.col("by_port") == 1, F.lit("port")).otherwise(F.lit("host"))).drop("by_port"))
 
 
-def fan_out(panes: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
-    """Source aggregates: one row per window and source host."""
-    facets = probe_facets(window_rows(panes, cfg))
-    host = F.col("facet") == "host"
+def source_totals(pairs: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
+    """All source figures except the list of probed ports.
+
+    One grouping-sets shuffle of the distinct pairs gives a row per contacted host and a row per port,
+    each with its fan-out: distinct probed ports, or distinct probed hosts.
+    """
+    sets = pairs.groupingSets([[*_SOURCE, "dst_ip"], [*_SOURCE, "dst_port"]], *_SOURCE, "dst_ip", "dst_port")
+    facets = sets.agg(
+        F.grouping("dst_ip").alias("by_port"), F.sum("packets").alias("packets"), F.sum("probes").alias("probes"),
+        F.count_if(F.col("probes") > 0).alias("fan"), F.min("first_probe").alias("first_probe"),
+        F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"),
+        *[F.sum(c).alias(c) for c in _COUNTS], *[F.min(c).alias(c) for c in _FIRSTS])
+    host = F.col("by_port") == 0
     # Only probed hosts and ports compete; a null order key never wins max_by. First probed wins a tie.
     order = F.struct(F.col("fan"), -F.col("first_probe"))
-    totals = facets.groupBy("window_start_us", "src_ip").agg(
+    probed = F.col("fan") > 0
+    totals = facets.groupBy(*_SOURCE).agg(
         *_sum_where(host, "packets", "probes", *_COUNTS), F.count_if(host).alias("unique_targets"),
-        F.max_by(F.struct("dst_ip", "fan", "probed_ports"), F.when(host & (F.col("fan") > 0), order)).alias("v"),
-        F.max_by(F.struct("dst_port", "fan"), F.when(~host & (F.col("fan") > 0), order)).alias("h"),
+        F.max_by(F.struct("dst_ip", "fan"), F.when(host & probed, order)).alias("v"),
+        F.max_by(F.struct("dst_port", "fan"), F.when(~host & probed, order)).alias("h"),
         F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"),
         *[F.min(c).alias(c) for c in _FIRSTS])
+    zero = F.lit(0).cast("long")
     return totals.select(
         "window_start_us", (F.col("window_start_us") + F.lit(cfg.size_us)).alias("window_end_us"), "src_ip",
         "packets", (F.col("probes") / F.col("packets")).alias("probe_ratio"), "unique_targets",
-        F.coalesce("v.fan", F.lit(0).cast("long")).alias("max_ports_on_one_host"),
-        F.coalesce("v.dst_ip", F.lit("")).alias("vertical_target"),
-        F.array_sort(F.coalesce("v.probed_ports", F.array().cast("array<int>"))).alias("probed_ports"),
-        F.coalesce("h.fan", F.lit(0).cast("long")).alias("max_hosts_on_one_port"),
-        F.coalesce("h.dst_port", F.lit(0)).alias("horizontal_port"),
+        F.coalesce("v.fan", zero).alias("max_ports_on_one_host"), F.coalesce("v.dst_ip", F.lit("")).alias("vertical_target"),
+        F.coalesce("h.fan", zero).alias("max_hosts_on_one_port"), F.coalesce("h.dst_port", F.lit(0)).alias("horizontal_port"),
         _modal_protocol().alias("protocol"), "first_ts_us", "last_ts_us")
 
 
+def with_probed_ports(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Add the sorted ports probed on the vertical target, at most 65,536 of them."""
+    wanted = sources.select(*_SOURCE, F.col("vertical_target").alias("dst_ip"))
+    ports = (pairs.filter("probes > 0").join(wanted, [*_SOURCE, "dst_ip"], "left_semi")
+             .groupBy(*_SOURCE).agg(F.array_sort(F.collect_list("dst_port")).alias("probed_ports")))
+    return (sources.join(ports, _SOURCE, "left")
+            .withColumn("probed_ports", F.coalesce("probed_ports", F.array().cast("array<int>"))))
+
+
+def fan_out(panes: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
+    """Source aggregates: one row per window and source host."""
+    pairs = probe_pairs(window_rows(panes, cfg))
+    return with_probed_ports(source_totals(pairs, cfg), pairs)
+
+
 _TARGET_ZEROS = {"packets": 0, "peak_pps": 0, "syn_only_ratio": 0.0, "udp_ratio": 0.0, "unique_sources": 0,
                  "source_ip_entropy": 0.0}
 _SOURCE_ZEROS = {"packets": 0, "probe_ratio": 0.0, "max_ports_on_one_host": 0, "max_hosts_on_one_port": 0,

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wiretide.config import DetectionConfig
-from wiretide.models.forest import ThreatModel, explain_column, predict
+from wiretide.models.forest import BENIGN, ThreatModel, explain_column, predict
 from wiretide.operators.alerts import suppress_repeats, to_alerts, with_ids
 from wiretide.operators.chain import materialize
 from wiretide.operators.detection import flow_detections, source_detections, target_detections
-from wiretide.operators.detectors import Detector, built_in
+from wiretide.operators.detectors import THREAT_LEVEL, Detector, built_in
 from wiretide.operators.features import flow_features, with_flow_vector, with_host_vector
 from wiretide.operators.flows import flows
-from wiretide.operators.windows import candidate_hosts, fan_in, fan_out, hosts, pane_counts
+from wiretide.operators.windows import (
+    candidate_hosts, hosts, pane_counts, probe_pairs, source_totals, target_facets, target_totals, window_rows,
+    with_probed_ports, with_top_sources)
 
 
-def flow_table(packets: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Flow features, computed once and kept in the shared folder."""
-    return flow_features(materialize(flows(packets, cfg.flow, splt=False)))
+def _together(spark: SparkSession, *jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run independent Spark jobs at the same time, so that one fills the gaps of the other."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [future.result() for future in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def host_predictions(targets: DataFrame, sources: DataFrame, model: ThreatModel) -> DataFrame:
@@ -27,28 +34,48 @@ def host_predictions(targets: DataFrame, sources: DataFrame, model: ThreatModel)
             .select("window_start_us", "host", "features", "ml_class", "ml_prob", "ml_probs"))
 
 
+def _reported(rows: DataFrame, rules: list[Detector], grain: str, model: bool) -> DataFrame:
+    """Rows of one grain on which a rule fires or the model sees an attack: few, so they are written once
+    and only they get their lists of sources or ports."""
+    fires = F.lit(False)
+    for rule in rules:
+        if rule.grain == grain:
+            fires = fires | (rule.confidence() >= THREAT_LEVEL)
+    if model:
+        fires = fires | F.coalesce(F.col("ml_class") != BENIGN, F.lit(False))
+    return materialize(rows.filter(fires))
+
+
 def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None,
                detectors: list[Detector] | None = None) -> DataFrame:
     """All rule and model detections, before the cooldown.
 
-    Packets are read by two aggregations only, whose results are written once: the flow table and the
-    pane table. Everything after that works on these.
+    Packets are read by two aggregations only: the flow table and the pane table, which is written
+    once. Windows are scored from panes, and details are computed for the reported windows only.
     """
     rules = built_in(cfg) if detectors is None else detectors
-    features = flow_table(packets, cfg)
-    panes = materialize(pane_counts(packets, cfg.window))
-    targets, sources = fan_in(panes, cfg.window), fan_out(panes, cfg.window)
-    if model is None:
-        return (flow_detections(features, rules).unionByName(target_detections(targets, rules))
-                .unionByName(source_detections(sources, rules)))
-    targets, sources = materialize(targets), materialize(sources)
-    scored = predict(with_flow_vector(features), model.flow, model.classes["flow"])
-    opinions = materialize(host_predictions(targets, sources, model))
-    by_target = targets.join(opinions.withColumnRenamed("host", "dst_ip"), ["window_start_us", "dst_ip"], "left")
-    by_source = sources.join(opinions.withColumnRenamed("host", "src_ip"), ["window_start_us", "src_ip"], "left")
-    flow_part = flow_detections(scored, rules, True, model.thresholds["flow"]).withColumn("kind", F.lit("flow"))
-    host_part = (target_detections(by_target, rules, True, model.thresholds["host"])
-                 .unionByName(source_detections(by_source, rules, True, model.thresholds["host"]))
+    spark, with_model = packets.sparkSession, model is not None
+    thresholds = model.thresholds if with_model else {"flow": 0.0, "host": 0.0}
+
+    def flow_job() -> DataFrame:
+        features = flow_features(flows(packets, cfg.flow, splt=False))
+        if with_model:
+            features = predict(with_flow_vector(features), model.flow, model.classes["flow"])
+        return materialize(flow_detections(features, rules, with_model, thresholds["flow"]).withColumn("kind", F.lit("flow")))
+
+    flow_part, panes = _together(spark, flow_job, lambda: materialize(pane_counts(packets, cfg.window)))
+    rows = window_rows(panes, cfg.window)
+    pairs = probe_pairs(rows)
+    targets, sources = target_totals(target_facets(rows, cfg.window), cfg.window), source_totals(pairs, cfg.window)
+    if with_model:
+        targets, sources = _together(spark, lambda: materialize(targets), lambda: materialize(sources))
+        opinions = materialize(host_predictions(targets, sources, model))
+        targets = targets.join(opinions.withColumnRenamed("host", "dst_ip"), ["window_start_us", "dst_ip"], "left")
+        sources = sources.join(opinions.withColumnRenamed("host", "src_ip"), ["window_start_us", "src_ip"], "left")
+    hit_targets, hit_sources = _together(spark, lambda: _reported(targets, rules, "target", with_model),
+                                         lambda: _reported(sources, rules, "source", with_model))
+    host_part = (target_detections(with_top_sources(hit_targets, panes, cfg.window), rules, with_model, thresholds["host"])
+                 .unionByName(source_detections(with_probed_ports(hit_sources, pairs), rules, with_model, thresholds["host"]))
                  .withColumn("kind", F.lit("host")))
     return flow_part.unionByName(host_part)
 

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wiretide.config import FlowConfig
+from wiretide.config import DetectionConfig
 from wiretide.fixtures import ctes, view
 from wiretide.functions import text
 from wiretide.operators import alerts as ops
-from wiretide.operators.detection import flow_detections, source_detections, target_detections
 from wiretide.operators.detectors import beaconing, exfiltration, flood, port_scan
-from wiretide.operators.features import flow_features
-from wiretide.operators.flows import flows
-from wiretide.operators.windows import fan_in, fan_out, pane_counts
-from wiretide.plans import analytics, catalog, report, response
+from wiretide.plans import analytics, catalog, detection, report, response
 from wiretide.registry import query
 from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, IDLE, flow_ctes
 from wiretide.registry.windows import _FAN_OUT, _FLOOD_SQL, _SCAN_SQL, BOTH, LOW_FLOOD, LOW_SCAN, packets
@@ -59,11 +55,9 @@ al as (select threat_class, c confidence_score, {_SEVERITY.format(c='c')} severi
 
 
 def _detections(spark, sf_dir):
-    p = packets(spark, sf_dir)
-    panes = pane_counts(p)
-    by_flow = flow_detections(flow_features(flows(p, IDLE, splt=False)), [beaconing(), exfiltration()])
-    return (by_flow.unionByName(target_detections(fan_in(panes), [flood(LOW_FLOOD)]))
-            .unionByName(source_detections(fan_out(panes), [port_scan(LOW_SCAN)])))
+    cfg = DetectionConfig(flow=IDLE)
+    rules = [beaconing(), exfiltration(), flood(LOW_FLOOD), port_scan(LOW_SCAN)]
+    return detection.detections(packets(spark, sf_dir), cfg, detectors=rules)
 
 
 @query("alert_union", _UNION_SQL + "select * exclude (seq) from al")
