@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiretide.llm import common, sharding
+from wiretide.llm import common, mixing, sharding, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +20,14 @@ def query(name: str, sql: str | None = None):
 @query("op1_sharding")
 def op1(spark, sf_dir):
     return sharding.shard_documents(common.table(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing")
+def op3(spark, sf_dir):
+    return mixing.mixed_documents(common.table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def op4(spark, sf_dir):
+    import public_tokenizers
+    return tokens.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

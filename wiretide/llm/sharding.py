@@ -81,7 +81,7 @@ def ring_shards(df: DataFrame, key: Column, shards: int, virtual_nodes: int = 32
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
     per_node = slots.groupBy("_node").agg(F.sum("_n").alias("_n"))
     counts = _once(per_node.agg(F.map_from_entries(F.collect_list(F.struct("_node", "_n"))).alias("by_node"))
-                   .crossJoin(ring)  # one row each
+                   .withColumn("one", F.lit(1)).join(ring.withColumn("one", F.lit(1)), "one")  # one row each
                    .select("orders", F.expr("transform(orders, (o, i) -> coalesce(by_node[i], cast(0 as bigint)))").alias("counts")),
                    "orders", "counts")
     counts = _once(counts.withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)), "orders", "counts", "total")
