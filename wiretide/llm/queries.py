@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiretide.llm import common, mixing, sharding, tokens
+from wiretide.llm import common, decontamination, mixing, sharding, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,23 @@ def op3(spark, sf_dir):
 def op4(spark, sf_dir):
     import public_tokenizers
     return tokens.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_decontamination", """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
+win as (select distinct item_id, list_slice(w, i, i + 9) p from (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) i from b where len(w) > 0)),
+sizes as (select distinct len(p) n from win),
+places as (select doc_id, i, n, list_slice(w, i, i + n - 1) p
+           from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from d, sizes where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from places join win using (p)),
+words as (select doc_id, count(distinct k) n_hit from (select distinct doc_id, unnest(range(i, i + n)) k from hits) group by doc_id),
+items as (select doc_id, count(distinct item_id) n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) s
+          from hits group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256,
+ coalesce(n_hit, 0) > 0 contaminated
+from d left join words using (doc_id) left join items using (doc_id)""")
+def op2(spark, sf_dir):
+    return decontamination.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
