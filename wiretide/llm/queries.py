@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiretide.llm import common, decontamination, mixing, sharding, tokens
+from wiretide.llm import common, decontamination, mixing, sharding, simhash, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,13 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coale
 from d left join words using (doc_id) left join items using (doc_id)""")
 def op2(spark, sf_dir):
     return decontamination.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_simhash")
+def op6(spark, sf_dir):
+    return simhash.fingerprint_components(common.table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.severity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
