@@ -15,46 +15,70 @@ from pyspark.sql import DataFrame, functions as F
 from wiretide.llm import bytewords
 from wiretide.llm.common import stored, text_batches, utf8
 
-BINS_LOG2 = 18
+BINS_LOG2 = 20
+#: Besides whole words, their first so many bytes are features: insults are inflected and compounded.
+PREFIXES = (4, 5, 6, 7, 8)
 #: Most labelled documents the model is fitted on, chosen by a hash of their ids.
 MAX_TRAINING_ROWS = 8000
-#: A text's features are its word counts over its number of words to this power.
-LENGTH_POWER = 0.75
-ROUNDS, RATE, RIDGE = 150, 0.15, 1e-5
+#: A feature is used where the likelihood ratio of its presence in toxic and clean rows is as large, in so many rows.
+MIN_RATIO, MIN_ROWS = 14.0, 4
+ROUNDS, RATE, RIDGE = 150, 0.15, 3e-5
 BATCH_BYTES = 4 << 20
 GRADES = 3
 
 
-def word_bins(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature number and row of every word."""
+def feature_bins(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature number and row of every word and word prefix."""
     lowered = bytewords.lower_table()[buffer]
     starts, ends, rows = bytewords.words(lowered, offsets, bytewords.alnum_table())
-    return (bytewords.hashes(lowered, starts, ends) >> np.uint64(64 - BINS_LOG2)).astype(np.int64), rows
+    ends_of, rows_of, starts_of = [ends], [rows], [starts]
+    for size in PREFIXES:
+        longer = ends - starts > size
+        starts_of.append(starts[longer])
+        ends_of.append(starts[longer] + size)
+        rows_of.append(rows[longer])
+    hashed = bytewords.hashes(lowered, np.concatenate(starts_of), np.concatenate(ends_of))
+    return (hashed >> np.uint64(64 - BINS_LOG2)).astype(np.int64), np.concatenate(rows_of)
+
+
+def counted(bins: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and count of every feature of every row, in order."""
+    pairs, counts = np.unique((rows << BINS_LOG2) | bins, return_counts=True)
+    return pairs >> BINS_LOG2, pairs & ((1 << BINS_LOG2) - 1), counts
 
 
 def _features(batches):
     for part in text_batches(batches, BATCH_BYTES):
-        bins, rows = word_bins(*utf8(part.column("text")))
-        pairs, counts = np.unique(rows * (1 << BINS_LOG2) + bins, return_counts=True)
-        borders = np.searchsorted(pairs >> BINS_LOG2, np.arange(part.num_rows + 1)).astype(np.int32)
+        rows, bins, counts = counted(*feature_bins(*utf8(part.column("text"))))
+        borders = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [part.column("toxic"), pa.ListArray.from_arrays(borders, pa.array(pairs & ((1 << BINS_LOG2) - 1), pa.int32())),
+            [part.column("toxic"), pa.ListArray.from_arrays(borders, pa.array(bins, pa.int32())),
              pa.ListArray.from_arrays(borders, pa.array(counts, pa.int32()))], names=["toxic", "bins", "counts"])
 
 
-def severity_grades(toxic: np.ndarray, row: np.ndarray, bins: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """0 for rows that are not toxic; toxic rows split at their median share of words that toxic rows favour."""
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    of_toxic = toxic[row]
-    in_toxic = np.bincount(bins[of_toxic], minlength=1 << BINS_LOG2)
-    in_clean = np.bincount(bins[~of_toxic], minlength=1 << BINS_LOG2)
-    odds = np.log((in_toxic + 0.5) / n_toxic) - np.log((in_clean + 0.5) / n_clean)
-    favoured = (odds > np.log(8)) & (in_toxic >= max(3, 0.01 * n_toxic))
-    words = np.bincount(row, counts, minlength=len(toxic))
-    share = np.bincount(row, counts * favoured[bins], minlength=len(toxic)) / np.maximum(words, 1)
+def telling_features(toxic: np.ndarray, rows: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features whose presence tells toxic rows from clean ones, and whether each speaks for toxic."""
+    size, n = 1 << BINS_LOG2, len(toxic)
+    n_toxic = int(toxic.sum())
+    in_toxic = np.bincount(bins[toxic[rows]], minlength=size)
+    in_clean = np.bincount(bins[~toxic[rows]], minlength=size)
+    seen = np.flatnonzero(in_toxic + in_clean >= MIN_ROWS)
+    a, b = in_toxic[seen], in_clean[seen]
+
+    def part(count, expected):
+        return count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9))
+    share = (a + b) / n
+    ratio = 2 * (part(a, n_toxic * share) + part(n_toxic - a, n_toxic * (1 - share))
+                 + part(b, (n - n_toxic) * share) + part(n - n_toxic - b, (n - n_toxic) * (1 - share)))
+    told = ratio > MIN_RATIO
+    return seen[told], (a * (n - n_toxic) > b * n_toxic)[told]
+
+
+def severity_grades(toxic: np.ndarray, rows: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """0 for rows that are not toxic; toxic rows split at their median share of features that speak for toxic."""
+    share = np.bincount(rows, counts, minlength=len(toxic)) / np.maximum(words, 1)
     grades = toxic.astype(np.int64)
-    if toxic.any():
-        grades[toxic & (share > np.median(share[toxic]))] = 2
+    grades[toxic & (share > np.median(share[toxic]))] = 2
     return grades
 
 
@@ -94,17 +118,23 @@ def fit_ordinal(row: np.ndarray, bins: np.ndarray, values: np.ndarray, grades: n
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
     toxic = group["toxic"].to_numpy().astype(bool)
     sizes = group["bins"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(group)), sizes)
+    rows = np.repeat(np.arange(len(group)), sizes)
     bins = np.concatenate([*group["bins"], np.zeros(0, np.int64)]).astype(np.int64)
     counts = np.concatenate([*group["counts"], np.zeros(0, np.int64)]).astype(np.float64)
-    words = np.maximum(np.bincount(row, counts, minlength=len(group)), 1)
-    grades = severity_grades(toxic, row, bins, counts)
-    weights, cuts = fit_ordinal(row, bins, counts / words[row] ** LENGTH_POWER, grades, 1 << BINS_LOG2)
-    return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "cuts": [cuts.tolist()]})
+    told, for_toxic = telling_features(toxic, rows, bins)
+    place = np.full(1 << BINS_LOG2, -1)
+    place[told] = np.arange(len(told))
+    words = np.bincount(rows, counts, minlength=len(group))
+    used = place[bins] >= 0
+    rows, bins, counts = rows[used], place[bins[used]], counts[used]
+    speaks = for_toxic[bins] if len(told) else np.zeros(0, bool)
+    grades = severity_grades(toxic, rows[speaks], counts[speaks], words)
+    weights, cuts = fit_ordinal(rows, bins, np.log1p(counts), grades, len(told))
+    return pd.DataFrame({"bins": [told.tolist()], "weights": [weights.tolist()], "cuts": [cuts.tolist()]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights and thresholds, fitted in one task on at most ``rows`` labelled documents; None without toxic or clean ones.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Features, their weights and the thresholds, fitted in one task on at most ``rows`` labelled documents; None without toxic or clean ones.
 
     A document labelled several times is toxic if any label says so; labels without doc_id or verdict are ignored.
     """
@@ -117,8 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> tu
     if sample.agg(F.count_distinct("toxic")).first()[0] < 2:
         return None
     model = stored(sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
-        lambda group: _fit(group), "weights binary, cuts array<double>")).first()
-    return np.frombuffer(bytes(model["weights"]), np.float32), np.array(model["cuts"])
+        lambda group: _fit(group), "bins array<int>, weights array<double>, cuts array<double>")).first()
+    return np.array(model["bins"], np.int64), np.array(model["weights"]), np.array(model["cuts"])
 
 
 def chances(model, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -126,10 +156,13 @@ def chances(model, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     if model is None:
         return np.tile([1.0, 0.0, 0.0], (n, 1))
-    weights, cuts = model
-    bins, rows = word_bins(buffer, offsets)
-    words = np.maximum(np.bincount(rows, minlength=n), 1)
-    score = np.bincount(rows, weights[bins], minlength=n) / words ** LENGTH_POWER
+    told, weights, cuts = model
+    place = np.full(1 << BINS_LOG2, -1, np.int32)
+    place[told] = np.arange(len(told))
+    bins, rows = feature_bins(buffer, offsets)
+    bins = place[bins]
+    rows, bins, counts = counted(bins[bins >= 0].astype(np.int64), rows[bins >= 0])
+    score = np.bincount(rows, np.log1p(counts) * weights[bins], minlength=n) if len(told) else np.zeros(n)
     below = np.concatenate([np.zeros((n, 1)), logistic(cuts[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
     return np.diff(below, axis=1)
 
