@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiretide.llm import common, decontamination, mixing, sharding, simhash, tokens, toxicity
+from wiretide.llm import common, decontamination, language, mixing, pages, sharding, simhash, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,13 @@ def op6(spark, sf_dir):
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.severity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@query("op7_html_extraction")
+def op7(spark, sf_dir):
+    return pages.extract(common.table(spark, sf_dir, "pages"))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    return language.identify(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "documents"))
