@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wiretide.llm import common, decontamination, language, mixing, pages, sharding, simhash, tokens, toxicity
+from pyspark.sql import functions as F
+
+from wiretide.llm import common, decontamination, graphs, language, mixing, pages, repeats, sharding, simhash, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +73,13 @@ def op7(spark, sf_dir):
 @query("op10_language_id")
 def op10(spark, sf_dir):
     return language.identify(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "documents"))
+
+
+@query("op8_repeated_strings")
+def op8(spark, sf_dir):
+    return repeats.without_repeats(common.table(spark, sf_dir, "documents"))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark, sf_dir):
+    return graphs.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
