@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = logistic(threshold_k - score): one weight vector for all grades, thresholds in order. Labels only say
-toxic or not; the toxic rows of the training sample are graded by the share of their words that toxic rows favour, so
+toxic or not; the toxic rows of the training sample are graded by how many features they hold that toxic rows favour, so
 that 0 is none, 1 mild and 2 severe. The expected grade is the expected severity.
 """
 
@@ -22,7 +22,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 MAX_TRAINING_ROWS = 8000
 #: A feature is used where the likelihood ratio of its presence in toxic and clean rows is as large, in so many rows.
 MIN_RATIO, MIN_ROWS = 14.0, 4
-ROUNDS, RATE, RIDGE = 150, 0.15, 3e-5
+ROUNDS, RATE, RIDGE = 200, 0.15, 3e-5
 BATCH_BYTES = 4 << 20
 GRADES = 3
 
@@ -74,11 +74,11 @@ def telling_features(toxic: np.ndarray, rows: np.ndarray, bins: np.ndarray) -> t
     return seen[told], (a * (n - n_toxic) > b * n_toxic)[told]
 
 
-def severity_grades(toxic: np.ndarray, rows: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """0 for rows that are not toxic; toxic rows split at their median share of features that speak for toxic."""
-    share = np.bincount(rows, counts, minlength=len(toxic)) / np.maximum(words, 1)
+def severity_grades(toxic: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """0 for rows that are not toxic; toxic rows split at their median count of features that speak for toxic."""
+    held = np.bincount(rows, counts, minlength=len(toxic))
     grades = toxic.astype(np.int64)
-    grades[toxic & (share > np.median(share[toxic]))] = 2
+    grades[toxic & (held > np.median(held[toxic]))] = 2
     return grades
 
 
@@ -124,11 +124,10 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     told, for_toxic = telling_features(toxic, rows, bins)
     place = np.full(1 << BINS_LOG2, -1)
     place[told] = np.arange(len(told))
-    words = np.bincount(rows, counts, minlength=len(group))
     used = place[bins] >= 0
     rows, bins, counts = rows[used], place[bins[used]], counts[used]
     speaks = for_toxic[bins] if len(told) else np.zeros(0, bool)
-    grades = severity_grades(toxic, rows[speaks], counts[speaks], words)
+    grades = severity_grades(toxic, rows[speaks], counts[speaks])
     weights, cuts = fit_ordinal(rows, bins, np.log1p(counts), grades, len(told))
     return pd.DataFrame({"bins": [told.tolist()], "weights": [weights.tolist()], "cuts": [cuts.tolist()]})
 
