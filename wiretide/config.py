@@ -38,8 +38,6 @@ class FlowConfig:
     max_samples: int = 5
     sample_bytes: int = 512
     hello_bytes: int = 16_384
-    # A run with more candidate cut points than this is chained by pointer doubling instead of one array
-    chain_array_limit: int = 200_000
 
     @property
     def bucket_us(self) -> int:
@@ -65,7 +63,6 @@ class ScanConfig:
 @dataclass(frozen=True)
 class CooldownConfig:
     cooldown_us: int = 30 * SECOND_US
-    chain_array_limit: int = 200_000
 
 
 @dataclass(frozen=True)

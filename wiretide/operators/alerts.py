@@ -39,7 +39,7 @@ def suppress_repeats(alerts: DataFrame, cfg: CooldownConfig = CooldownConfig(),
     """
     # Alerts are few next to what they were computed from, and are read several times below
     rows = materialize(alerts.withColumn("_us", F.unix_micros("ts")))
-    kept = greedy_chain(rows, [key], "_us", cfg.cooldown_us, cfg.chain_array_limit)
+    kept = greedy_chain(rows, [key], "_us", cfg.cooldown_us)
     columns = alerts.columns
     order = ["flow_id", "threat_class", *(["order_us"] if "order_us" in columns else ["id"] if "id" in columns else []), "evidence"]
     first = (rows.groupBy(key, "_us")

@@ -5,19 +5,26 @@ A chain keeps the first point of a key and then, repeatedly, the first point tha
 
 Points are first split into runs at gaps of at least ``width``, where the chain always restarts. In
 a run that starts at s and has no gap wider than g, the k-th kept point lies in [s + k*width,
-s + k*(width + g)], so all other points are dropped before anything is gathered. What is left is
-chained in one ordered array per run, or, for runs above ``array_limit``, by pointer doubling in
-which no group is gathered at all.
+s + k*(width + g)], so all other points are dropped first. Runs are cut into blocks of a few widths.
+Each block on its own is a map from where a chain enters it to the last point the chain keeps in it;
+only these maps are walked in order per run, and then every block knows its entry and its kept points.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wiretide.session import checkpoint_dir
 
+#: Widths in a block: a chain keeps at most so many points and one more in it.
+BLOCK_WIDTHS = 8
+_OFFSET_BITS = 40
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared checkpoint folder and read back: lineage is cut, lost executors cost nothing."""
@@ -49,59 +56,118 @@ def _runs(points: DataFrame, keys: list[str], width: int) -> DataFrame:
             .select(*keys, "bucket", "start", "gap"))
 
 
-def greedy_chain(points: DataFrame, keys: list[str], time: str, width: int, array_limit: int = 200_000) -> DataFrame:
+def greedy_chain(points: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
     """Kept points, as rows of ``keys`` and ``time``. ``time`` is an integer column."""
     pts = (points.select(*keys, F.col(time).cast("long").alias("t")).distinct()
            .withColumn("bucket", F.floor(F.col("t") / F.lit(max(1, width // 3)))))
     candidates = (pts.join(_runs(pts, keys, width), [*keys, "bucket"])
                   .filter(can_be_kept("t", "start", "gap", width)).select(*keys, "start", "t"))
-    return settle(candidates, keys, width, array_limit).select(*keys, F.col("t").alias(time))
+    return settle(candidates, keys, width).select(*keys, F.col("t").alias(time))
 
 
-def settle(candidates: DataFrame, keys: list[str], width: int, array_limit: int) -> DataFrame:
+def settle(candidates: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Chains of runs given as (keys, start, t), where each run contains its start."""
-    candidates = materialize(candidates)
-    if array_limit > 0 and candidates.count() <= array_limit:
-        return _fold(candidates, keys, width)
-    sizes = candidates.groupBy(*keys, "start").count()
-    heavy = materialize(sizes.filter(F.col("count") > array_limit).drop("count"))
-    light = candidates.join(heavy, [*keys, "start"], "left_anti")
-    return _fold(light, keys, width).unionByName(
-        _double(candidates.join(heavy, [*keys, "start"], "left_semi"), keys, width))
-
-
-def _fold(candidates: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Chain of one run over its sorted candidate array."""
-    chain = F.aggregate(
-        F.array_sort(F.collect_list("t")), F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= width),
-                               F.concat(kept, F.array(t))).otherwise(kept))
-    return (candidates.groupBy(*keys, "start").agg(chain.alias("kept"))
-            .select(*keys, "start", F.explode("kept").alias("t")))
-
-
-def _double(nodes: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Chains of any length by pointer doubling: round r settles 2**r links with one equi-join."""
     run = [*keys, "start"]
-    cell = F.floor((F.col("t") - F.col("start")) / F.lit(max(1, width // 64)))
-    # As-of step: each node asks for the first node at or after t + width, in fine time cells
-    nodes = nodes.select(*run, "t")
-    asks = nodes.select(*run, (F.col("t") + F.lit(width)).alias("t"), F.col("t").alias("origin"))
-    merged = (nodes.withColumn("origin", F.lit(None).cast("long")).unionByName(asks).withColumn("cell", cell))
-    ahead = Window.partitionBy(*run, "cell").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    node_time = F.when(F.col("origin").isNull(), F.col("t"))
-    later = Window.partitionBy(*run).orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
-    beyond = (merged.groupBy(*run, "cell").agg(F.min(node_time).alias("head"))
-              .withColumn("beyond", F.min("head").over(later)).drop("head"))
-    jump = materialize(
-        merged.withColumn("inside", F.min(node_time).over(ahead)).filter("origin is not null")
-        .join(beyond, [*run, "cell"])
-        .select(*run, F.col("origin").alias("t"), F.coalesce("inside", "beyond").alias("to"))
-        .filter("to is not null"))
-    reached = materialize(nodes.filter("t = start"))
-    while not jump.isEmpty():
-        hop = reached.join(jump, [*run, "t"]).select(*run, F.col("to").alias("t"))
-        reached = materialize(reached.unionByName(hop).distinct())
-        second = jump.select(*run, F.col("t").alias("to"), F.col("to").alias("next"))
-        jump = materialize(jump.join(second, [*run, "to"]).select(*run, "t", F.col("next").alias("to")))
-    return reached
+    span = width * BLOCK_WIDTHS
+    if span >= 1 << _OFFSET_BITS:
+        raise ValueError("the chain width is too large")
+    rows = materialize(candidates.withColumn("block", F.expr(f"(t - start) div {span}")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    named = ", ".join(f"`{name}` {kinds[name]}" for name in [*run, "block"])
+    blocks = [*run, "block"]
+    exits = (rows.repartition(*blocks).sortWithinPartitions(*blocks, "t")
+             .mapInPandas(_exits(run, width), f"{named}, upper long, leaves long"))
+    entries = (exits.repartition(*run).sortWithinPartitions(*blocks, "upper")
+               .mapInPandas(_entries(run, width), f"{named}, enters long"))
+    return (rows.join(entries, blocks).repartition(*blocks).sortWithinPartitions(*blocks, "t")
+            .mapInPandas(_kept(run, width), ", ".join(f"`{name}` {kinds[name]}" for name in [*run, "t"])))
+
+
+def _whole_blocks(frames: Iterator[pd.DataFrame], run: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted frames cut so that no block is parted."""
+    held = None
+    for frame in frames:
+        if held is not None:
+            frame = pd.concat([held, frame], ignore_index=True)
+        if len(frame):
+            first = _first_of_block(frame, run)
+            last = int(np.flatnonzero(first)[-1])
+            if last:
+                yield frame.iloc[:last]
+            held = frame.iloc[last:]
+    if held is not None and len(held):
+        yield held
+
+
+def _first_of_block(frame: pd.DataFrame, run: list[str]) -> np.ndarray:
+    new = np.zeros(len(frame), bool)
+    new[0] = True
+    for name in [*run, "block"]:
+        values = frame[name].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return new
+
+
+def _steps(frame: pd.DataFrame, run: list[str], width: int) -> tuple[np.ndarray, ...]:
+    """Block number, place in the block, order key and next point of each row; a point without a next one in its block names itself."""
+    first = _first_of_block(frame, run)
+    number = np.cumsum(first) - 1
+    offset = (frame["t"] - frame["start"] - frame["block"] * (width * BLOCK_WIDTHS)).to_numpy()
+    order = (number << _OFFSET_BITS) + offset
+    following = np.searchsorted(order, order + width)
+    ends = np.append(np.flatnonzero(first)[1:], len(frame))[number]
+    return number, offset, order, np.where(following < ends, following, np.arange(len(frame)))
+
+
+def _exits(run: list[str], width: int):
+    """Per block, for chains that enter up to ``upper``, the last point they keep in it."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_blocks(frames, run):
+            number, _, _, last = _steps(frame, run, width)
+            while True:
+                further = last[last]
+                if (further == last).all():
+                    break
+                last = further
+            border = np.append((last[1:] != last[:-1]) | (number[1:] != number[:-1]), True)
+            out = frame.loc[:, [*run, "block"]][border]
+            yield out.assign(upper=frame["t"].to_numpy()[border], leaves=frame["t"].to_numpy()[last[border]])
+    return work
+
+
+def _entries(run: list[str], width: int):
+    """Walk the maps of a run in order: the earliest time at which its chain may keep a point of each block."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, block, enters, passed = None, None, 0, True
+        for frame in frames:
+            keys = list(zip(*(frame[name].tolist() for name in run)))
+            rows = []
+            for i, (key, at, upper, leaves) in enumerate(zip(keys, frame["block"].tolist(), frame["upper"].tolist(), frame["leaves"].tolist())):
+                if key != current:
+                    current, block, enters = key, None, key[-1]
+                if at != block:
+                    block, passed = at, False
+                    rows.append((i, enters))
+                if not passed and upper >= enters:
+                    enters, passed = leaves + width, True
+            if rows:
+                at, times = zip(*rows)
+                yield frame.loc[:, [*run, "block"]].iloc[list(at)].assign(enters=list(times))
+    return work
+
+
+def _kept(run: list[str], width: int):
+    """The points of each block that a chain keeps when it enters at ``enters``."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_blocks(frames, run):
+            number, offset, order, following = _steps(frame, run, width)
+            allowed = offset + (frame["enters"] - frame["t"]).to_numpy()
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            at = np.searchsorted(order, (number[first] << _OFFSET_BITS) + np.maximum(allowed[first], 0))
+            at = at[(at < len(frame)) & (number[np.minimum(at, len(frame) - 1)] == number[first])]
+            chosen = np.zeros(len(frame), bool)
+            while len(at):
+                chosen[at] = True
+                at = following[at][following[at] != at]
+            yield frame.loc[:, [*run, "t"]][chosen]
+    return work

@@ -85,7 +85,7 @@ def active_cuts(packets: DataFrame, slots: DataFrame, cfg: FlowConfig) -> DataFr
                   .select(*SLOT, F.col("flow_start_us").alias("start"), "gap"))
     candidates = (packets.select(*SLOT, F.col("ts_us").alias("t")).join(long_slots, SLOT)
                   .filter(can_be_kept("t", "start", "gap", cfg.active_us)).select(*KEY, "start", "t").distinct())
-    return (settle(candidates, KEY, cfg.active_us, cfg.chain_array_limit).filter("t > start")
+    return (settle(candidates, KEY, cfg.active_us).filter("t > start")
             .select(*KEY, F.floor(F.col("t") / F.lit(cfg.bucket_us)).alias("bucket"), F.col("t").alias("cut_us")))
 
 
