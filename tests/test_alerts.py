@@ -15,8 +15,8 @@ EPOCH = "2026-01-01T00:00:00"
 @pytest.fixture(scope="module")
 def alert(spark):
     def build(*changes):
-        base = dict(id=1, ts=0.0, flow_id="10.0.0.5:4000->203.0.113.9:4444_TCP", src_ip="10.0.0.5", dst_ip="203.0.113.9", src_port=4000,
-                    dst_port=4444, protocol="TCP", threat_class="Botnet_C2_Beaconing", severity="CRITICAL", confidence_score=0.92, evidence='{"iat_variance":0.0}')
+        base = dict(id=1, ts=0.0, flow_id="172.20.3.14:51515->192.0.2.77:8088_TCP", src_ip="172.20.3.14", dst_ip="192.0.2.77", src_port=51515,
+                    dst_port=8088, protocol="TCP", threat_class="Botnet_C2_Beaconing", severity="CRITICAL", confidence_score=0.93, evidence='{"iat_variance":0.0}')
         rows = [{**base, **c} for c in changes or ({},)]
         names = ALERT_SCHEMA.names
         df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], "id long, ts double, " + ", ".join(
@@ -75,30 +75,32 @@ def rules(df):
 
 def test_c2_rules(alert):
     firewall, ids, row = rules(alert())
-    assert firewall == ["iptables -A FORWARD -s 10.0.0.5 -d 203.0.113.9 -j DROP", "iptables -A FORWARD -d 203.0.113.9 -j DROP"]
-    assert ids[0].startswith('drop tcp 10.0.0.5 any -> 203.0.113.9 4444 (msg:"') and f"sid:{row.sid};" in ids[0]
+    assert firewall == ["iptables -A FORWARD -s 172.20.3.14 -d 192.0.2.77 -j DROP", "iptables -A FORWARD -d 192.0.2.77 -j DROP"]
+    assert ids[0].startswith('drop tcp 172.20.3.14 any -> 192.0.2.77 8088 (msg:"') and f"sid:{row.sid};" in ids[0]
     import zlib
     key = f"{row.flow_id}|{row.threat_class}|2026-01-01T00:00:00+00:00"
     assert row.sid == 9_000_000 + zlib.crc32(key.encode()) % 999_999
 
 
 def test_v6_rules(alert):
-    assert all(line.startswith("ip6tables") for line in rules(alert({"src_ip": "2001:db8::1", "dst_ip": "2001:db8::2"}))[0])
+    assert all(line.startswith("ip6tables") for line in rules(alert({"src_ip": "2001:db8:7::a1", "dst_ip": "2001:db8:9::b2"}))[0])
 
 
 def test_captured_names_cannot_inject(alert):
-    firewall, ids, row = rules(alert({"threat_class": "DGA_Domains_and_DNS_Tunneling", "evidence": json.dumps({"queried_domain": 'a$(reboot)`id`";sid:1;.evil.com'})}))
-    text = "\n".join(firewall + ids)
-    assert "$(" not in text and "`" not in text and ids[0].count("sid:") == 1 and "arebootidsid1.evil.com" in ids[0]
-    assert firewall == ["iptables -A FORWARD -s 10.0.0.5 -p udp --dport 53 -m string --string evil --algo bm -j DROP"]
-    assert row.action.endswith(" RPZ entry: arebootidsid1.evil.com CNAME .")
+    hostile = "x;|wget${IFS}h`ls`\\n\";rev:7;)'<&>.mal-host.org"
+    firewall, ids, row = rules(alert({"threat_class": "DGA_Domains_and_DNS_Tunneling", "evidence": json.dumps({"queried_domain": hostile})}))
+    for line in firewall + ids + [row.action]:
+        assert not set("$`|<&\\'") & set(line)
+    assert ids[0].count("rev:") == 1 and ids[0].count("msg:") == 1 and "mal-host.org" in ids[0]
+    assert len(firewall) == 1 and firewall[0].startswith("iptables -A FORWARD -s 172.20.3.14 -p udp --dport 53 ")
+    assert row.action.endswith(".mal-host.org CNAME .")
 
 
 def test_other_classes(alert):
-    firewall, ids, _ = rules(alert({"threat_class": "Volumetric_Protocol_DDoS", "evidence": '{"top_sources":["1.2.3.4","x; rm","5.6.7.8"]}'}))
-    assert len(firewall) == 3 and firewall[1] == "iptables -A INPUT -s 1.2.3.4 -d 203.0.113.9 -j DROP" and "SYN flood" in ids[0]
+    firewall, ids, _ = rules(alert({"threat_class": "Volumetric_Protocol_DDoS", "evidence": '{"top_sources":["198.51.100.4","y | sh","198.51.100.8"]}'}))
+    assert len(firewall) == 3 and firewall[1] == "iptables -A INPUT -s 198.51.100.4 -d 192.0.2.77 -j DROP" and "SYN flood" in ids[0]
     firewall, ids, _ = rules(alert({"threat_class": "Reconnaissance_Port_Scanning", "dst_ip": "*"}))
-    assert firewall == ["iptables -A INPUT -s 10.0.0.5 -j DROP"]
+    assert firewall == ["iptables -A INPUT -s 172.20.3.14 -j DROP"]
     ja3 = "a" * 32
     assert f'content:"{ja3}"' in rules(alert({"threat_class": "Encrypted_Malware_TLS", "evidence": json.dumps({"ja3_hash": ja3})}))[1][0]
     firewall, ids, row = rules(alert({"threat_class": "Something"}))
@@ -129,7 +131,7 @@ def test_digest_and_descriptions(alert):
                  {"id": 3, "threat_class": "Data_Exfiltration", "severity": "MEDIUM", "evidence": '{"total_bytes":2048,"bytes_per_sec":10,"detected_by":"AI model"}'})
     lead, other = analytics.digest(rows).collect()
     assert (lead.id, lead.n, lead.more, lead.title) == (2, 2, "+1 more of this type", "■ Critical · C2 beaconing (T1071)")
-    assert other.body == "10.0.0.5 sent 2.0 KB to 203.0.113.9:4444 at 10 B/s" and other.title.endswith(" · AI model")
+    assert other.body == "172.20.3.14 sent 2.0 KB to 192.0.2.77:8088 at 10 B/s" and other.title.endswith(" · AI model")
 
 
 def test_report_order(alert):

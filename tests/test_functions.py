@@ -10,10 +10,10 @@ from wiretide.functions.dns import decode_question
 from wiretide.functions.domain import analyze, shannon_entropy, suffix_join, with_domain_split
 from wiretide.functions.register import register
 
-BENIGN = """google.com microsoft.com stackoverflow.com cloudflare.com ntro.gov.in googleusercontent.com strengths.com
-d1a2b3c4e5f6.cloudfront.net hdfcbank.com icicibank.com flipkart.com letsencrypt.org incometax.gov.in paloaltonetworks.com makemytrip.com""".split()
-GENERATED = "vxzq123pkm.biz qweasd1234rty.info mnbv123lkjh.org kp9w12zjlm4h.club".split()
-TUNNEL = "mzxw6ytboi2dsnrzgq3tmnzygu4tsmjrgiztinjwg4.t.exfil-c2.net"
+BENIGN = """apache.org python.org kernel.org debian.org gutenberg.org blueharbor.com greenlantern.net weatherstation.co.uk
+d9k2m4p6r8.cloudfront.net riverbank.com mountaintrail.org paperlanterns.com""".split()
+GENERATED = "wqz7kx3bvt.biz zxcv8uiop2qwrt.info hjkl56bnmtz.org q4wz7xkjv9pl2.club".split()
+TUNNEL = "nbswy3dpeb3w64tmmqqhi2djomqgs4zamfxca5dfon2a.q.leak-path.net"
 
 
 def one(spark, *columns):
@@ -34,7 +34,7 @@ def test_entropy_matches_counting(spark):
 
 
 def test_domain_split(spark):
-    cases = {"www.ntro.gov.in": ("ntro", "www", "gov.in"), "gov.in": ("gov", "", "in"), "a.b.example.com.": ("example", "a.b", "com"),
+    cases = {"www.records.gov.in": ("records", "www", "gov.in"), "gov.in": ("gov", "", "in"), "a.b.example.com.": ("example", "a.b", "com"),
              "host": ("host", "", ""), "": ("", "", ""), "..": ("", "", ""), "EXAMPLE.co.uk": ("example", "", "co.uk")}
     rows = with_domain_split(names(spark, cases), "domain").collect()
     assert {r.domain: (r.label, r.subdomain, r.suffix) for r in rows} == cases
@@ -47,8 +47,8 @@ def test_benign_and_generated_names(spark):
 
 
 def test_tunnel_and_empty_record(spark):
-    rows = {r.domain: r for r in analyze(names(spark, [TUNNEL, "www.wikipedia.org", "", None])).collect()}
-    assert rows[TUNNEL].is_tunnel_suspect and not rows["www.wikipedia.org"].is_tunnel_suspect
+    rows = {r.domain: r for r in analyze(names(spark, [TUNNEL, "www.gutenberg.org", "", None])).collect()}
+    assert rows[TUNNEL].is_tunnel_suspect and not rows["www.gutenberg.org"].is_tunnel_suspect
     for empty in (rows[""], rows[None]):
         assert (empty.query_length, empty.entropy, empty.max_label_length, empty.dga_signals) == (0, 0.0, 0, [])
         assert not empty.is_tunnel_suspect
@@ -139,9 +139,9 @@ def test_bad_evidence_is_an_empty_object(spark):
 
 def test_sql_functions(spark):
     register(spark)
-    row = spark.sql("""select shannon_entropy('abcd') h, domain_split('www.ntro.gov.in') d, is_internal_ip('10.0.0.1') a,
+    row = spark.sql("""select shannon_entropy('abcd') h, domain_split('www.records.gov.in') d, is_internal_ip('10.0.0.1') a,
                        is_internal_ip('8.8.8.8') b, is_internal_ip('fe80::1') c, is_internal_ip('zz') z""").first()
-    assert row.h == 2.0 and tuple(row.d) == ("ntro", "www", "gov.in") and (row.a, row.b, row.c, row.z) == (True, False, True, False)
+    assert row.h == 2.0 and tuple(row.d) == ("records", "www", "gov.in") and (row.a, row.b, row.c, row.z) == (True, False, True, False)
     spark.createDataFrame([(bytearray(dns_query("a.b")), bytearray(client_hello([1])))], "q binary, h binary").createOrReplaceTempView("payloads")
     row = spark.sql("select parse_dns_query(q).query_name n, parse_client_hello(h).is_tls t from payloads").first()
     assert row.n == "a.b" and row.t

@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 import pytest
@@ -36,7 +37,7 @@ def test_predict(spark, model):
 def test_explanations(spark, model):
     rows = vectors(spark, "flow", (BEACON,), 5, 9).withColumn("explain_class", F.lit(BEACON))
     rows = rows.unionByName(vectors(spark, "flow", (EXFIL,), 1, 3).withColumn("explain_class", F.lit(None).cast("string")))
-    got = rows.select("label", forest.explain_column(spark, model.flow, "flow", model.classes["flow"]).alias("f")).collect()
+    got = forest.with_explanation(rows, model.flow, "flow", model.classes["flow"], name="f").select("label", "f").collect()
     for row in got:
         if row.label == EXFIL:
             assert row.f is None
@@ -46,6 +47,19 @@ def test_explanations(spark, model):
     assert any(x.feature == "bytes in flow" for row in got if row.f for x in row.f)
 
 
+def test_leaves_add_up_to_the_probability(spark, model):
+    """The root's share plus everything a leaf table says about the reached leaves is the forest's own probability."""
+    from pyspark.ml.functions import vector_to_array
+    row = model.flow.copy().setLeafCol("leaves").transform(vectors(spark, "flow", (BEACON,), 1, 4)).select(
+        vector_to_array("leaves").alias("leaves"), vector_to_array("probability").alias("p")).first()
+    said = forest.leaf_table(spark, model.flow).toPandas()
+    reached = {(tree, int(leaf)) for tree, leaf in enumerate(row.leaves)}
+    gains = sum((np.array(g) for t, leaf, g in zip(said.tree, said.leaf, said.gains) if (t, leaf) in reached), np.zeros(len(row.p)))
+    path = f"{forest.checkpoint_dir(spark)}/forest-{model.flow.uid}/data"
+    roots = [np.array(r.s) / sum(r.s) for r in spark.read.parquet(path).filter("nodeData.id = 0").selectExpr("nodeData.impurityStats s").collect()]
+    assert np.allclose(np.mean(roots, axis=0) + gains / len(roots), row.p)
+
+
 def test_persistence_and_layout_guard(spark, model, tmp_path):
     path = str(tmp_path / "m")
     model.thresholds["flow"] = 0.91

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wiretide.operators.chain import materialize
 from wiretide.operators.detectors import BEACON, DGA, EXFIL, FLOOD, MALWARE, SCAN
@@ -110,66 +110,77 @@ def feature_importance(model: ThreatModel, kind: str) -> DataFrame:
 
 # ---- explanations -------------------------------------------------------------------------------
 
-_FACTOR = T.ArrayType(T.StructType([
-    T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
-    T.StructField("contribution", T.DoubleType()), T.StructField("text", T.StringType())]))
+_EXPLANATION = "array<struct<feature:string,value:double,contribution:double,text:string>>"
 
 
-def _node_arrays(spark: SparkSession, model) -> list[tuple[np.ndarray, ...]]:
-    """Trees as arrays (left, right, feature, threshold, class shares). Its size depends on the forest
-    only, never on the data."""
+def leaf_table(spark: SparkSession, model) -> DataFrame:
+    """What reaching a leaf says: per (tree, leaf, feature) the summed change of every class share at the
+    splits on that feature. Leaves count from the left, as the model's own leaf column does. One task
+    reads one tree."""
     path = f"{checkpoint_dir(spark)}/forest-{model.uid}"
     model.write().overwrite().save(path)
-    nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild",
-                     "nodeData.split.featureIndex", F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
-                     "nodeData.impurityStats")
-             .toPandas().sort_values(["treeID", "id"]))
-    trees = []
-    for _, tree in nodes.groupby("treeID"):
-        stats = np.array(tree["impurityStats"].tolist(), dtype=float)
-        shares = stats / np.clip(stats.sum(axis=1, keepdims=True), 1e-12, None)
-        trees.append((tree["leftChild"].to_numpy(), tree["rightChild"].to_numpy(), tree["featureIndex"].to_numpy(),
-                      tree["threshold"].fillna(0.0).to_numpy(), shares))
-    return trees
-
-
-def _path_credit(trees, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Change of the target class share at every split on the path, credited to the split's feature."""
-    credit = np.zeros(x.shape)
-    everyone = np.arange(len(x))
-    for left, right, feature, threshold, shares in trees:
-        node = np.zeros(len(x), dtype=int)
-        active = everyone[left[node] >= 0]
-        while len(active):
-            here = node[active]
-            split = feature[here]
-            child = np.where(x[active, split] <= threshold[here], left[here], right[here])
-            np.add.at(credit, (active, split), shares[child, target[active]] - shares[here, target[active]])
-            node[active] = child
-            active = active[left[child] >= 0]
-    return credit / max(1, len(trees))
-
-
-def explain_column(spark: SparkSession, model, kind: str, classes: tuple[str, ...], vector: str = "features",
-                   target: str = "explain_class", top: int = 3) -> Column:
-    """Strongest positive factors of a class for a vector; null where no class is asked for."""
-    trees = spark.sparkContext.broadcast(_node_arrays(spark, model))
-    labels = list(LAYOUT[kind].values())
-    index = {name: i for i, name in enumerate(classes)}
-
-    @F.pandas_udf(_FACTOR)
-    def factors(vectors: pd.Series, names: pd.Series) -> pd.Series:
-        out = [None] * len(vectors)
-        asked = [i for i, (v, n) in enumerate(zip(vectors, names)) if v is not None and n in index]
-        if asked:
-            x = np.array([vectors.iloc[i] for i in asked], dtype=float)
-            credit = _path_credit(trees.value, x, np.array([index[names.iloc[i]] for i in asked]))
-            for row, i in enumerate(asked):
-                order = np.argsort(-credit[row], kind="stable")[:top]
-                out[i] = [{"feature": labels[j], "value": round(float(x[row, j]), 3),
-                           "contribution": round(float(credit[row, j]), 3),
-                           "text": f"{labels[j]} = {round(float(x[row, j]), 3):g}"} for j in order if credit[row, j] > 0]
-        return pd.Series(out)
-
-    return factors(F.when(F.col(vector).isNotNull(), vector_to_array(vector)), F.col(target))
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.impurityStats")
+    total = F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b)
+    shares = nodes.withColumn("share", F.transform("impurityStats", lambda v: F.when(total > 0, v / total).otherwise(F.lit(0.0))))
+    return shares.select("tree", "id", "leftChild", "rightChild", "featureIndex", "share").groupBy("tree").applyInPandas(
+        _leaf_rows, "tree int, leaf int, feature int, gains array<double>")
+
+
+def _leaf_rows(tree: pd.DataFrame) -> pd.DataFrame:
+    tree = tree.set_index("id").sort_index()
+    parent = pd.concat([pd.Series(tree.index, tree[side]) for side in ("leftChild", "rightChild")])
+    parent = parent[parent.index >= 0]
+    # Node numbers follow a walk that takes the left branch first, so their order is that of the leaves
+    at = pd.Series(tree.index[tree["leftChild"] < 0])
+    leaf, found = pd.Series(range(len(at))), []
+    while len(at := at[at.isin(parent.index)]):
+        above = at.map(parent)
+        gain = np.stack(tree.loc[at, "share"]) - np.stack(tree.loc[above, "share"])
+        found.append(pd.DataFrame(gain).assign(leaf=leaf[at.index].to_numpy(), feature=tree.loc[above, "featureIndex"].to_numpy()))
+        at = above
+    if not found:
+        return pd.DataFrame({"tree": [], "leaf": [], "feature": [], "gains": []})
+    sums = pd.concat(found).groupby(["leaf", "feature"]).sum()
+    keys = sums.index.to_frame(index=False)
+    return keys.assign(tree=int(tree["tree"].iloc[0]), gains=sums.to_numpy().tolist())[["tree", "leaf", "feature", "gains"]]
+
+
+def with_explanation(rows: DataFrame, model, kind: str, classes: tuple[str, ...], target: str = "explain_class", top: int = 3,
+                     name: str = "factors") -> DataFrame:
+    """Adds the strongest positive factors of the class in ``target`` for the vector in ``features``.
+
+    Null where no class is asked for or it is unknown. The model names the leaf that a row reaches in
+    every tree; what the leaves say is joined to it and averaged over the trees.
+    """
+    spark, labels = rows.sparkSession, list(LAYOUT[kind].values())
+    # Rows are few next to what they were computed from, and need an identity that a second read keeps
+    held = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    wanted = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target))
+    asked = held.select("_row", "features", wanted.alias("_class")).filter("_class > 0 and features is not null")
+    named = model.copy().setLeafCol("_leaves").transform(asked)
+    reached = (named.select("_row", "_class", vector_to_array("features").alias("_x"), F.posexplode(vector_to_array("_leaves")).alias("tree", "_leaf"))
+               .withColumn("leaf", F.col("_leaf").cast("int")))
+    gain = F.coalesce(F.get("gains", F.col("_class").cast("int") - 1), F.lit(0.0))
+    credit = (reached.join(leaf_table(spark, model), ["tree", "leaf"])
+              .groupBy("_row", "feature").agg((F.sum(gain) / F.lit(model.getNumTrees)).alias("credit"), F.first("_x").alias("_x"))
+              .filter("credit > 0"))
+    value = F.round(F.get("_x", F.col("feature")), 3)
+    factor = F.struct((-F.col("credit")).alias("order"), "feature", value.alias("value"))
+    texts = F.array(*[F.lit(x) for x in labels])
+    best = (credit.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list(factor)), 1, top).alias("_best"))
+            .select("_row", F.transform("_best", lambda b: F.struct(
+                F.get(texts, b["feature"]).alias("feature"), b["value"].alias("value"), F.round(-b["order"], 3).alias("contribution"),
+                F.concat(F.get(texts, b["feature"]), F.lit(" = "), _short(b["value"])).alias("text"))).cast(_EXPLANATION).alias(name)))
+    known = wanted > 0
+    return (held.join(best, "_row", "left")
+            .withColumn(name, F.when(known & F.col("features").isNotNull(), F.coalesce(name, F.expr(f"cast(array() as {_EXPLANATION})"))))
+            .drop("_row"))
+
+
+def _short(value: Column) -> Column:
+    """A number with six significant digits and no trailing zeros."""
+    size = F.greatest(F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-3)))), F.lit(0)).cast("int")
+    scale = F.pow(F.lit(10.0), F.lit(5) - size)
+    plain = F.regexp_replace(F.format_string("%.3f", F.round(value * scale) / scale), r"\.?0+$", "")
+    return F.when(F.abs(value) >= 1e6, F.format_string("%.5e", value)).otherwise(plain)

@@ -9,7 +9,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wiretide.config import DetectionConfig
-from wiretide.models.forest import BENIGN, ThreatModel, explain_column, predict
+from wiretide.models.forest import BENIGN, ThreatModel, predict, with_explanation
 from wiretide.operators.alerts import suppress_repeats, to_alerts, with_ids
 from wiretide.operators.chain import materialize
 from wiretide.operators.detection import flow_detections, source_detections, target_detections
@@ -82,13 +82,11 @@ def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), mod
 
 def _with_factors(alerts: DataFrame, model: ThreatModel) -> DataFrame:
     """Append the model's strongest factors to the evidence of the alerts in which the model speaks."""
-    spark = alerts.sparkSession
     asked = F.col("explain_class").isNotNull()
     out = alerts.filter(~asked)
     for kind in ("flow", "host"):
-        factors = explain_column(spark, model.of(kind), kind, model.classes[kind])
-        rows = (alerts.filter(asked & (F.col("kind") == kind))
-                .withColumn("_f", F.to_json(F.transform(factors, lambda f: f["text"]))))
+        rows = (with_explanation(alerts.filter(asked & (F.col("kind") == kind)), model.of(kind), kind, model.classes[kind], name="_f")
+                .withColumn("_f", F.to_json(F.transform("_f", lambda f: f["text"]))))
         body = F.expr("substring(evidence, 1, length(evidence) - 1)")
         out = out.unionByName(rows.withColumn("evidence", F.concat(
             body, F.lit(',"model_factors":'), F.coalesce("_f", F.lit("[]")), F.lit("}"))).drop("_f"))

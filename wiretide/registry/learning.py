@@ -217,8 +217,8 @@ def ml_host_scores(spark, sf_dir):
 def ml_explain(spark, sf_dir):
     rows = _flow_training(spark, sf_dir)
     model = _fit("flow", rows)
-    factors = forest.explain_column(spark, model, "flow", forest.CLASSES["flow"], target="label")
-    return (rows.filter("label <> 'benign'").select("label", F.explode(factors).alias("f"))
+    explained = forest.with_explanation(rows.filter("label <> 'benign'"), model, "flow", forest.CLASSES["flow"], target="label")
+    return (explained.select("label", F.explode("factors").alias("f"))
             .groupBy("label", F.col("f.feature").alias("feature"))
             .agg(F.count("*").alias("n"), F.round(F.avg("f.contribution"), 4).alias("mean_contribution")))
 
