@@ -113,7 +113,8 @@ def test_bundle_keeps_first_occurrence(alert, spark, tmp_path):
     assert len(firewall) == 2 and {r.id for r in firewall} == {1}
     alert_store.write_rule_bundle(rows, str(tmp_path / "b"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "b" / "firewall")).collect()]
-    assert lines[0].startswith("# alert 1 Botnet_C2_Beaconing") and len(lines) == 3
+    assert lines[0] == "#!/bin/sh" and lines[2] == "set -e" and lines[3].startswith("# alert 1 Botnet_C2_Beaconing") and len(lines) == 6
+    assert [r.value for r in spark.read.text(str(tmp_path / "b" / "ids")).collect()][1].startswith("# alert 1")
 
 
 def test_filters_posture_and_page(alert):

@@ -1,6 +1,7 @@
 import pytest
 
 from helpers import ipv4, pcap, pcapng, tcp, udp
+from wiretide.sources.packets import capped
 from wiretide.sources.captures import capture_statistics, chunk_index, read_captures, read_frames
 
 ETHERNET = b"\0" * 12 + b"\x08\x00"
@@ -61,8 +62,12 @@ def test_cut_file_and_statistics(spark, tmp_path):
     chunks = chunk_index(spark, str(tmp_path))
     stats = {r.path.rsplit("/", 1)[1]: r for r in capture_statistics(chunks, read_frames(chunks), 12).collect()}
     assert (stats["cut.pcap"].packets_parsed, stats["cut.pcap"].cut_short, stats["cut.pcap"].truncated) == (12, True, False)
-    assert (stats["ok.pcap"].frames_read, stats["ok.pcap"].packets_parsed, stats["ok.pcap"].frames_skipped) == (14, 13, 1)
+    assert (stats["ok.pcap"].frames_read, stats["ok.pcap"].packets_parsed) == (stats["ok.pcap"].frames_skipped + 12, 12)
     assert stats["ok.pcap"].truncated and stats["ok.pcap"].packets_used == 12 and not stats["ok.pcap"].cut_short
+    whole = {r.path.rsplit("/", 1)[1]: r for r in capture_statistics(chunks, read_frames(chunks)).collect()}
+    assert (whole["ok.pcap"].frames_read, whole["ok.pcap"].packets_parsed, whole["ok.pcap"].frames_skipped, whole["ok.pcap"].truncated) == (14, 13, 1, False)
+    none = {r.path.rsplit("/", 1)[1]: r for r in capture_statistics(chunks, read_frames(chunks), 0).collect()}
+    assert (none["ok.pcap"].frames_read, none["ok.pcap"].truncated, none["junk.pcap"].truncated) == (0, True, False)
     assert (stats["junk.pcap"].format, stats["junk.pcap"].frames_read) == ("unknown", 0)
 
 
@@ -73,3 +78,11 @@ def test_chunking_does_not_change_the_packets(spark, tmp_path):
     whole, parts = read(spark, tmp_path), read(spark, tmp_path, chunk_bytes=500)
     assert len(whole) == 350 and whole == parts and len({r.pkt_id for r in whole}) == 350
     assert chunk_index(spark, str(tmp_path), chunk_bytes=500).count() > 20
+
+
+def test_a_cap_counts_packets_only(spark, tmp_path):
+    arp = b"\0" * 12 + b"\x08\x06" + b"\0" * 28
+    (tmp_path / "a.pcap").write_bytes(pcap([(T + i, arp) for i in range(5)] + [(T + 5 + i, ETHERNET + SYN) for i in range(10)]))
+    assert capped(read_captures(spark, str(tmp_path)), 8).count() == 8
+    row = capture_statistics(chunks := chunk_index(spark, str(tmp_path)), read_frames(chunks), 8).first()
+    assert (row.frames_read, row.packets_parsed, row.frames_skipped, row.truncated) == (13, 8, 5, True)

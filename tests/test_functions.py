@@ -84,6 +84,27 @@ def test_ip_validity(spark):
     assert {r.ip: r.ok for r in rows} == cases
 
 
+def test_sql_and_column_agree_on_addresses(spark):
+    register(spark)
+    cases = {"10.1.2.3": True, "9.300.0.0": False, "10.1.1.999": False, "172.31.0.1": True, "172.32.0.1": False, "100.127.1.1": True, "100.128.0.1": False,
+             "fe80::1": True, "fe80::1%eth0": True, "fe80:zzz": False, "febf::9": True, "fec0::9": False, "fdff:1::": True, "::1": True, "0:0:0:0:0:0:0:1": True,
+             "::ffff:10.0.0.1": False, "::10.0.0.999": False, "1:2:3": False, "": False, None: False, "FE80::A": True}
+    rows = names(spark, cases).select("domain", net.is_internal(F.col("domain")).alias("c"), F.expr("is_internal_ip(domain)").alias("s")).collect()
+    assert {r.domain: r.c for r in rows} == cases and {r.domain: r.s for r in rows} == cases
+
+
+def test_canonical_addresses(spark):
+    cases = {"2001:DB8:0:0::1": "2001:db8::1", "10.0.0.1": "10.0.0.1", "::ffff:192.0.2.1": "::ffff:192.0.2.1", "fe80::1%eth0": "fe80::1%eth0", "x": None, "1.2.3": None}
+    rows = names(spark, cases).select("domain", net.canonical(F.col("domain")).alias("c")).collect()
+    assert {r.domain: r.c for r in rows} == cases
+
+
+def test_cidr_join_of_both_versions(spark):
+    ips = spark.createDataFrame([("2001:db8::5",), ("2001:DB9::5",), ("10.2.0.1",), ("bad",), ("::1",)], "ip string")
+    nets = spark.createDataFrame([("2001:db8::/32",), ("10.2.0.0/16",), ("junk/8",), ("::1/128",)], "cidr string")
+    assert {r.ip: r.inside for r in net.cidr_join(ips, nets).collect()} == {"2001:db8::5": True, "2001:DB9::5": False, "10.2.0.1": True, "bad": False, "::1": True}
+
+
 def test_cidr_join(spark):
     ips = spark.createDataFrame([("10.1.1.1",), ("11.0.0.1",), ("192.168.4.9",), ("x",)], "ip string")
     nets = spark.createDataFrame([("10.0.0.0/8",), ("192.168.4.0/24",)], "cidr string")

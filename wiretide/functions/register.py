@@ -6,12 +6,10 @@ from pyspark.sql import SparkSession
 
 from wiretide.functions.dns import decode_question
 from wiretide.functions.domain import TWO_LEVEL_SUFFIXES
-from wiretide.functions.net import INTERNAL_V4, _V6_INTERNAL_PATTERN, v4_range
+from wiretide.functions.net import IS_INTERNAL_SQL
 from wiretide.functions.tls import decode_client_hello
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in TWO_LEVEL_SUFFIXES)
-_RANGES = " or ".join("n between {} and {}".format(*v4_range(c)) for c in INTERNAL_V4)
-_NUMBER = " + ".join(f"cast(split_part(ip, '.', {i + 1}) as bigint) * {256 ** (3 - i)}" for i in range(4))
 
 # SQL functions are inlined by the optimizer, so they cost no more than the written-out expression
 _SQL_FUNCTIONS = {
@@ -27,10 +25,7 @@ _SQL_FUNCTIONS = {
             'label', case when k >= 1 then element_at(p, greatest(k, 1)) else '' end,
             'subdomain', case when k > 1 then concat_ws('.', slice(p, 1, greatest(k - 1, 0))) else '' end,
             'suffix', case when k >= 1 then concat_ws('.', slice(p, k + 1, size(p))) else concat_ws('.', p) end)), 1)), 1)"""),
-    "is_internal_ip": ("(ip string) returns boolean", f"""
-        case when contains(ip, ':') then ip rlike '{_V6_INTERNAL_PATTERN}'
-             when ip rlike '^([0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}$' then exists(array({_NUMBER}), n -> {_RANGES})
-             else false end"""),
+    "is_internal_ip": ("(ip string) returns boolean", IS_INTERNAL_SQL),
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wiretide.functions.net import is_ip
+from wiretide.functions.net import canonical, is_ip
 from wiretide.functions.text import field, parsed, safe_domain, text_list
 
 # Local rule ids start here
@@ -46,7 +46,7 @@ def with_rules(alerts: DataFrame, tag: str = "THREAT") -> DataFrame:
     ev = parsed(F.col("evidence"))
     # Only validated addresses and cleaned names enter a rule
     staged = alerts.withColumns({
-        "_src": F.when(is_ip(F.col("src_ip")), F.col("src_ip")), "_dst": F.when(is_ip(F.col("dst_ip")), F.col("dst_ip")),
+        "_src": canonical(F.col("src_ip")), "_dst": canonical(F.col("dst_ip")),
         "_port": F.coalesce("dst_port", F.lit(0)),
         "_proto": F.when(F.lower("protocol").isin("tcp", "udp"), F.lower("protocol")).otherwise(F.lit("ip")),
         "_domain": safe_domain(F.coalesce(field(ev, "queried_domain"), F.lit(""))),
@@ -138,8 +138,12 @@ def rule_bundle(alerts: DataFrame, tag: str = "THREAT") -> DataFrame:
             .select("kind", "first.id", "first.position", "first.header", "line"))
 
 
-def bundle_lines(bundle: DataFrame, kind: str) -> DataFrame:
-    """File lines of one kind in order, with a header before the lines of each alert."""
+def bundle_lines(bundle: DataFrame, kind: str, first: DataFrame | None = None) -> DataFrame:
+    """File lines of one kind in order, with a header before the lines of each alert, after the lines of ``first``
+    (id, position, line), whose ids lie before those of all alerts."""
     rows = bundle.filter(F.col("kind") == kind)
     heads = rows.groupBy("id").agg(F.min("header").alias("line")).select("id", F.lit(-1).alias("position"), "line")
-    return heads.unionByName(rows.select("id", "position", "line")).orderBy("id", "position").select(F.col("line").alias("value"))
+    lines = heads.unionByName(rows.select("id", "position", "line"))
+    if first is not None:
+        lines = first.unionByName(lines)
+    return lines.orderBy("id", "position").select(F.col("line").alias("value"))

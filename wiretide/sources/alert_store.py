@@ -75,9 +75,12 @@ def write_csv(alerts: DataFrame, path: str) -> None:
 
 
 def write_rule_bundle(alerts: DataFrame, path: str, tag: str = "THREAT") -> None:
-    """Two text exports: ``firewall`` (shell lines) and ``ids``, each with ordered, distinct rules."""
+    """Two usable text exports, one file each: ``firewall`` (a shell script) and ``ids``, with ordered, distinct rules.
+
+    A script is one file, so one task writes it; the rules are distinct by then.
+    """
     bundle = rule_bundle(alerts, tag)
     spark = alerts.sparkSession
     for kind, head in (("firewall", ("#!/bin/sh", *HEADER, "set -e")), ("ids", HEADER)):
-        bundle_lines(bundle, kind).write.mode("overwrite").text(f"{path}/{kind}")
-        spark.createDataFrame([(line,) for line in head], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{kind}_head")
+        first = spark.createDataFrame([(-1, i, line) for i, line in enumerate(head)], "id long, position int, line string")
+        (bundle_lines(bundle, kind, first).coalesce(1).write.mode("overwrite").text(f"{path}/{kind}"))

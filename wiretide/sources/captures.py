@@ -267,14 +267,25 @@ def read_captures(spark: SparkSession, folder: str, pattern: str = "*.pcap*", ch
 def capture_statistics(chunks: DataFrame, frames: DataFrame, max_packets: int | None = None) -> DataFrame:
     """Telemetry per file: frames read, parsed and skipped, cut flag, link type, bytes.
 
-    With ``max_packets`` reading stops before the frame after the last accepted packet.
+    With ``max_packets`` reading stops at the frame after the last accepted packet, if there is one: then the file
+    counts as truncated, and later frames were not read.
     """
     files = chunks.groupBy("path").agg(F.max("format").alias("format"), F.max("linktype").alias("linktype"),
                                        F.bool_or("cut_short").alias("cut_short"), F.max(F.col("offset") + F.col("length")).alias("bytes"))
-    counts = frames.groupBy("path").agg(F.count("*").alias("frames_read"), F.count_if("parsed").alias("packets_parsed"))
+    truncated = F.lit(False)
+    if max_packets is not None:
+        # The rank limit is pushed below the shuffle, so no file's frames are gathered
+        accepted = (frames.filter("parsed").select("path", "frame").withColumn("_rank", F.row_number().over(Window.partitionBy("path").orderBy("frame")))
+                    .filter(F.col("_rank") <= max_packets).groupBy("path").agg(F.count("*").alias("_n"), F.max("frame").alias("_last")))
+        full = F.coalesce("_n", F.lit(0)) >= max_packets
+        # A negative number stands before every frame
+        frames = (frames.select("path", "frame", "parsed").join(accepted.select("path", "_n", "_last"), "path", "left")
+                  .withColumn("_beyond", full & (F.col("frame") > F.coalesce("_last", F.lit(-1)))))
+        truncated = F.coalesce("_beyond", F.lit(False))
+        counts = frames.groupBy("path").agg(F.count_if(~F.col("_beyond")).alias("frames_read"),
+                                            F.count_if(F.col("parsed") & ~F.col("_beyond")).alias("packets_parsed"), F.bool_or("_beyond").alias("_beyond"))
+    else:
+        counts = frames.groupBy("path").agg(F.count("*").alias("frames_read"), F.count_if("parsed").alias("packets_parsed"))
     out = files.join(counts, "path", "left").fillna({"frames_read": 0, "packets_parsed": 0})
-    out = out.withColumn("frames_skipped", F.col("frames_read") - F.col("packets_parsed"))
-    limit = F.lit(max_packets)
-    truncated = F.col("packets_parsed") > limit if max_packets is not None else F.lit(False)
-    return out.withColumns({"truncated": truncated, "packets_used": F.least("packets_parsed", limit) if max_packets is not None
-                            else F.col("packets_parsed")})
+    return (out.withColumns({"frames_skipped": F.col("frames_read") - F.col("packets_parsed"), "truncated": truncated, "packets_used": F.col("packets_parsed")})
+            .drop("_beyond"))

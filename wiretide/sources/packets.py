@@ -19,11 +19,11 @@ def stream_packets(spark: SparkSession, path: str, files_per_trigger: int = 16)
 def capped(packets: DataFrame, limit: int, per: list[str] | None = None) -> DataFrame:
     """The first ``limit`` packets per capture in arrival order.
 
-    The rank limit is pushed below the shuffle, so a task sees at most ``limit`` rows per input
-    partition. Captures decoded by this package number their frames: there a filter on ``frame`` does.
+    Captures are told apart by ``per``, by default by their ``path`` where there is one. Only packets count, not frames
+    that hold none. The rank limit is pushed below the shuffle, so a task sends at most ``limit`` rows per capture.
     """
-    if per is None and "frame" in packets.columns:
-        return packets.filter(F.col("frame") <= limit)
+    if per is None and "path" in packets.columns:
+        per = ["path"]
     if not per:
         return packets.orderBy("pkt_id").limit(limit)
     order = Window.partitionBy(*per).orderBy("pkt_id")
