@@ -91,7 +91,7 @@ select event_id label_seq, concat('10.0.',cast(user_id%4 as <STR>),'.',cast(user
  case when <K>%2=0 then 'Reconnaissance_Port_Scanning' else 'Volumetric_Protocol_DDoS' end cls,
  1704067200000000 + (<US> - 1704067200000000) <DIV> 14400 t_start_us,
  1704067200000000 + (<US> - 1704067200000000) <DIV> 14400 + 2000000 t_end_us
-from events where event_type='purchase' and event_id%10=0""",
+from events where event_type='purchase'""",
 }
 
 # Views on top of the views above

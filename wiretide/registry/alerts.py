@@ -11,7 +11,7 @@ from wiretide.operators import alerts as ops
 from wiretide.operators.detectors import beaconing, exfiltration, flood, port_scan
 from wiretide.plans import analytics, catalog, detection, report, response
 from wiretide.registry import query
-from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, IDLE, flow_ctes
+from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, SHORT_ACTIVE, flow_ctes
 from wiretide.registry.windows import _FAN_OUT, _FLOOD_SQL, _SCAN_SQL, BOTH, LOW_FLOOD, LOW_SCAN, packets
 
 ALERTS = ctes("v_alerts")
@@ -40,7 +40,7 @@ _SEVERITY = ("case when {c} >= 0.9::double then 'CRITICAL' when {c} >= 0.8::doub
 
 # ---- from detections to alerts ------------------------------------------------------------------
 
-_UNION_FLOWS = flow_ctes(None)
+_UNION_FLOWS = flow_ctes(30_000_000)
 _UNION_SQL = BOTH + _FLOOD_SQL + _SCAN_SQL + _UNION_FLOWS[_UNION_FLOWS.index(",\npk as"):] + f""",
 rules as (
  select 'Volumetric_Protocol_DDoS' threat_class, round(conf, 4) c, last_ts_us ts_us, format('{{}}:*->{{}}:{{}}_{{}}', first_source, dst_ip, top_dst_port, protocol) flow_id,
@@ -55,7 +55,7 @@ al as (select threat_class, c confidence_score, {_SEVERITY.format(c='c')} severi
 
 
 def _detections(spark, sf_dir):
-    cfg = DetectionConfig(flow=IDLE)
+    cfg = DetectionConfig(flow=SHORT_ACTIVE)
     rules = [beaconing(), exfiltration(), flood(LOW_FLOOD), port_scan(LOW_SCAN)]
     return detection.detections(packets(spark, sf_dir), cfg, detectors=rules)
 
@@ -197,9 +197,9 @@ def threat_posture(spark, sf_dir):
     return analytics.threat_posture(alerts(spark, sf_dir)).withColumn("last_us", _us("last_ts")).drop("last_ts")
 
 
-@query("vector_counts", DIMS + "select cls threat_class, short, mid mitre_id, count(id) n from th left join v_alerts on threat_class = cls and confidence_score >= 0.9 group by all")
+@query("vector_counts", DIMS + "select cls threat_class, short, mid mitre_id, count(id) n from th left join v_alerts on threat_class = cls group by all")
 def vector_counts(spark, sf_dir):
-    return analytics.vector_counts(alerts(spark, sf_dir).filter("confidence_score >= 0.9"))
+    return analytics.vector_counts(alerts(spark, sf_dir))
 
 
 @query("severity_mix", ALERTS + "select severity, count(*) n, round(count(*) / (select count(*) from v_alerts), 6) share from v_alerts group by severity")
@@ -260,10 +260,9 @@ def kill_chain(spark, sf_dir):
 
 @query("mitre_coverage", DIMS + ", tc as (select * from " + _dim(list(enumerate(catalog.TACTICS)), "t(tactic_order, tac)") + """)
 select tactic_order::int tactic_order, tactic, mid mitre_id, technique, cls threat_class, count(id) n, round(avg(confidence_score), 6) mean_confidence, count(id) > 0 observed
-from th join tc on tac = tactic left join v_alerts on threat_class = cls and severity = 'CRITICAL' group by all""")
+from th join tc on tac = tactic left join v_alerts on threat_class = cls group by all""")
 def mitre_coverage(spark, sf_dir):
-    rows = alerts(spark, sf_dir).filter("severity = 'CRITICAL'")
-    return analytics.mitre_coverage(rows).withColumn("mean_confidence", F.round("mean_confidence", 6))
+    return analytics.mitre_coverage(alerts(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 @query("report_summary", ALERTS + """
@@ -315,41 +314,39 @@ def capture_summary(spark, sf_dir):
 # ---- response -----------------------------------------------------------------------------------
 
 _LABEL = ("case when len(string_split(dom, '.')) >= 2 then string_split(dom, '.')[-2] else dom end")
+# CRC-32 of an ASCII text, one bit a step: a number is a byte to take in, -1 a shift
+_CRC = ("xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({key}, ''), lambda ch: [unicode(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+        "lambda crc, x: case when x >= 0 then xor(crc, x) else xor(crc >> 1, 3988292384 * (crc & 1)) end), 4294967295)")
+_SID = "9000000 + " + _CRC.format(key="concat(flow_id, '|', threat_class, '|', strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S'), "
+                                  "case when ts_us % 1000000 <> 0 then strftime(make_timestamp(ts_us), '.%f') else '' end, '+00:00')") + " % 999999"
 _RULES = ALERTS + f""",
-e as (select *, coalesce(json_extract_string({_OK}, '$.queried_domain'), '') dom, concat('THREAT ', threat_class, ' ', severity) msg from v_alerts),
-rl as (select id, threat_class, flow_id, case threat_class
+e as (select *, ({_SID})::varchar sid, coalesce(json_extract_string({_OK}, '$.queried_domain'), '') dom, concat('THREAT ', threat_class, ' ', severity) msg from v_alerts),
+rl as (select id, threat_class, flow_id, sid, list_transform(case threat_class
   when 'Volumetric_Protocol_DDoS' then [format('iptables -A INPUT -d {{}} -p tcp --syn -m hashlimit --hashlimit-name ddos_SID --hashlimit-above 100/second --hashlimit-mode srcip -j DROP', dst_ip)]
   when 'Reconnaissance_Port_Scanning' then [format('iptables -A INPUT -s {{}} -j DROP', src_ip)]
   when 'Botnet_C2_Beaconing' then [format('iptables -A FORWARD -s {{}} -d {{}} -j DROP', src_ip, dst_ip), format('iptables -A FORWARD -d {{}} -j DROP', dst_ip)]
   when 'DGA_Domains_and_DNS_Tunneling' then case when dom <> '' then [format('iptables -A FORWARD -s {{}} -p udp --dport 53 -m string --string {{}} --algo bm -j DROP', src_ip, {_LABEL})] else [] end
   when 'Encrypted_Malware_TLS' then [format('iptables -A FORWARD -d {{}} -p tcp --dport 443 -j DROP', dst_ip)]
-  else [format('iptables -A FORWARD -s {{}} -d {{}} -j DROP', src_ip, dst_ip)] end fw,
- case threat_class
+  else [format('iptables -A FORWARD -s {{}} -d {{}} -j DROP', src_ip, dst_ip)] end, lambda line: replace(line, 'SID', sid)) fw,
+ list_transform(case threat_class
   when 'Volumetric_Protocol_DDoS' then [format('drop tcp any any -> {{}} 443 (msg:"{{}} SYN flood"; flags:S,12; detection_filter:track by_dst, count 300, seconds 1; sid:SID; rev:1;)', dst_ip, msg)]
   when 'Reconnaissance_Port_Scanning' then [format('drop tcp {{}} any -> any any (msg:"{{}} probe"; flags:S,12; detection_filter:track by_src, count 10, seconds 3; sid:SID; rev:1;)', src_ip, msg)]
   when 'Botnet_C2_Beaconing' then [format('drop tcp {{}} any -> {{}} 443 (msg:"{{}} C2 check-in"; sid:SID; rev:1;)', src_ip, dst_ip, msg)]
   when 'DGA_Domains_and_DNS_Tunneling' then case when dom <> '' then [format('drop dns any any -> any any (msg:"{{}} {{}}"; dns.query; content:"{{}}"; nocase; sid:SID; rev:1;)', msg, dom, dom)] else [] end
   when 'Encrypted_Malware_TLS' then [format('drop tls {{}} any -> {{}} 443 (msg:"{{}}"; sid:SID; rev:1;)', src_ip, dst_ip, msg)]
-  else [format('drop tcp {{}} any -> {{}} 443 (msg:"{{}} bulk egress"; dsize:>1000; detection_filter:track by_src, count 20, seconds 5; sid:SID; rev:1;)', src_ip, dst_ip, msg)] end ids from e)"""
-
-
-def _without_sid(column):
-    """The checking engine has no CRC-32, so rule numbers are masked on both sides."""
-    return F.regexp_replace(F.regexp_replace(column, r"sid:\d+", "sid:SID"), r"ddos_\d+", "ddos_SID")
+  else [format('drop tcp {{}} any -> {{}} 443 (msg:"{{}} bulk egress"; dsize:>1000; detection_filter:track by_src, count 20, seconds 5; sid:SID; rev:1;)', src_ip, dst_ip, msg)] end, lambda line: replace(line, 'SID', sid)) ids from e)"""
 
 
 @query("response_rules", _RULES + r"select id, array_to_string(fw, chr(10)) firewall_rules, array_to_string(ids, chr(10)) ids_rules from rl")
 def response_rules(spark, sf_dir):
     rows = response.with_rules(alerts(spark, sf_dir))
-    return rows.select("id", _without_sid(F.array_join("firewall_rules", "\n")).alias("firewall_rules"),
-                       _without_sid(F.array_join("ids_rules", "\n")).alias("ids_rules"))
+    return rows.select("id", F.array_join("firewall_rules", "\n").alias("firewall_rules"), F.array_join("ids_rules", "\n").alias("ids_rules"))
 
 
 @query("rule_bundle", _RULES + """,
-ln as (select id, threat_class, flow_id, unnest(fw) line, unnest(range(len(fw))) p from rl where threat_class <> 'Volumetric_Protocol_DDoS'),
-rn as (select *, row_number() over (partition by line order by id, p) n from ln)
-select id, p::int "position", concat('# alert ', id, ' ', threat_class, ' ', flow_id) header, line from rn where n = 1""")
+ln as (select 'firewall' kind, id, threat_class, flow_id, unnest(fw) line, unnest(range(len(fw))) p from rl
+ union all select 'ids', id, threat_class, flow_id, unnest(ids), unnest(range(len(ids))) from rl),
+rn as (select *, row_number() over (partition by kind, line order by id, p) n from ln)
+select kind, id, p::int "position", concat('# alert ', id, ' ', threat_class, ' ', flow_id) header, line from rn where n = 1""")
 def rule_bundle(spark, sf_dir):
-    """Firewall lines of the classes whose lines carry no rule number."""
-    rows = response.rule_bundle(alerts(spark, sf_dir).filter("threat_class <> 'Volumetric_Protocol_DDoS'"))
-    return rows.filter("kind = 'firewall'").select("id", "position", "header", "line")
+    return response.rule_bundle(alerts(spark, sf_dir))

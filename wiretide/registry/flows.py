@@ -83,12 +83,12 @@ def flow_iat_stats(spark, sf_dir):
     return flows(packets(spark, sf_dir), splt=False).select("flow_id", "flow_start_us", "gaps", "pkt_len_min", "pkt_len_max", *_rounded(*_MOMENTS, digits=9))
 
 
-@query("flow_splt", flow_ctes(None) + """,
+@query("flow_splt", flow_ctes(30_000_000) + """,
 sp as (select fk flow_id, st flow_start_us, list(packet_length order by pos) filter (pos <= 30) l from x group by all)
 select flow_id, flow_start_us, array_to_string(list_resize(l, 30, 0), ',') splt from sp""")
 def flow_splt(spark, sf_dir):
     text = F.array_join(F.transform("splt", lambda v: v.cast("string")), ",").alias("splt")
-    return flows(packets(spark, sf_dir), IDLE).select("flow_id", "flow_start_us", text)
+    return flows(packets(spark, sf_dir), SHORT_ACTIVE).select("flow_id", "flow_start_us", text)
 
 
 _RATES = ("packets_per_second", "bytes_per_second", "syn_ratio", "payload_to_header_ratio")
@@ -96,9 +96,9 @@ _NET = f"""(case when {internal_sql('src_ip')} then 1 else 0 end)::double src_in
  (case when protocol in ('TCP', 'UDP') then 0 else 1 end)::double is_portless, (case when dst_ip like '%.255' then 1 else 0 end)::double dst_broadcast"""
 
 
-@query("flow_features", flow_ctes(None) + f"select flow_id, flow_start_us, {_rsql(*_RATES)}, {_NET}, round(greatest(0.0001::double, duration), 6) duration from ff")
+@query("flow_features", flow_ctes(30_000_000) + f"select flow_id, flow_start_us, {_rsql(*_RATES)}, {_NET}, round(greatest(0.0001::double, duration), 6) duration from ff")
 def features(spark, sf_dir):
-    rows = flow_features(flows(packets(spark, sf_dir), IDLE, splt=False))
+    rows = flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False))
     return rows.select("flow_id", "flow_start_us", *_rounded(*_RATES, "duration"), "src_internal", "dst_internal", "is_portless", "dst_broadcast")
 
 
@@ -117,10 +117,10 @@ _VECTOR_SQL = {
 }
 
 
-@query("flow_vector", flow_ctes(None) + "select flow_id, flow_start_us, "
+@query("flow_vector", flow_ctes(30_000_000) + "select flow_id, flow_start_us, "
        + ", ".join(f"round(({e})::double, 9) {n}" for n, e in _VECTOR_SQL.items()) + " from ff")
 def flow_vector(spark, sf_dir):
-    rows = flow_features(flows(packets(spark, sf_dir), IDLE, splt=False))
+    rows = flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False))
     columns = flow_vector_columns()
     return rows.select("flow_id", "flow_start_us", *[F.round(columns[n], 9).alias(n) for n in _VECTOR_SQL])
 
@@ -135,15 +135,15 @@ EXFIL_SQL = f"""case when not {_CLIENT} then 0 when total_bytes > 5000000 and pa
   when total_bytes > 500000 and bytes_per_second > 50000 and payload_to_header_ratio > 15 and pkt_len_mean > 1000 then 0.89 else 0 end::double"""
 
 
-@query("beacon_scores", flow_ctes(None) + f", sc as (select *, {BEACON_SQL} c from ff) select flow_id, flow_start_us, c confidence, c >= 0.7 is_threat from sc")
+@query("beacon_scores", flow_ctes(30_000_000) + f", sc as (select *, {BEACON_SQL} c from ff) select flow_id, flow_start_us, c confidence, c >= 0.7 is_threat from sc")
 def beacon_scores(spark, sf_dir):
-    rows = fill_defaults(flow_features(flows(packets(spark, sf_dir), IDLE, splt=False)))
+    rows = fill_defaults(flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False)))
     return score(rows, beaconing()).select("flow_id", "flow_start_us", "confidence", "is_threat")
 
 
-@query("exfil_scores", flow_ctes(None) + f", sc as (select *, {EXFIL_SQL} c, {_CLIENT} client_egress from ff) select flow_id, flow_start_us, client_egress, c confidence, c >= 0.7 is_threat from sc")
+@query("exfil_scores", flow_ctes(30_000_000) + f", sc as (select *, {EXFIL_SQL} c, {_CLIENT} client_egress from ff) select flow_id, flow_start_us, client_egress, c confidence, c >= 0.7 is_threat from sc")
 def exfil_scores(spark, sf_dir):
-    rows = fill_defaults(flow_features(flows(packets(spark, sf_dir), IDLE, splt=False)))
+    rows = fill_defaults(flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False)))
     return score(rows, exfiltration()).select("flow_id", "flow_start_us", client_egress().alias("client_egress"), "confidence", "is_threat")
 
 
@@ -155,9 +155,9 @@ def packet_cap(spark, sf_dir):
     return capped(packets(spark, sf_dir), 100, ["protocol"]).select("pkt_id", "protocol")
 
 
-@query("run_statistics", flow_ctes(None) + """
+@query("run_statistics", flow_ctes(30_000_000) + """
 select (select count(*) from v_packets) total_packets, (select count(*) from ff) total_flows, (select sum(packet_length)::bigint from v_packets) total_bytes""")
 def run_statistics(spark, sf_dir):
     p = packets(spark, sf_dir)
-    total = flows(p, IDLE, splt=False).agg(F.count("*")).scalar()
+    total = flows(p, SHORT_ACTIVE, splt=False).agg(F.count("*")).scalar()
     return p.agg(F.count("*").alias("total_packets"), F.sum("packet_length").alias("total_bytes")).withColumn("total_flows", total)

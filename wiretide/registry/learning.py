@@ -16,7 +16,7 @@ from wiretide.operators.flows import flows
 from wiretide.operators.windows import candidate_hosts
 from wiretide.plans import analytics, detection
 from wiretide.registry import query
-from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, IDLE, flow_ctes
+from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, SHORT_ACTIVE, flow_ctes
 from wiretide.registry.windows import _CANDIDATE, _HOSTS, LOW_FLOOD, LOW_SCAN, host_rows, packets
 
 SCORES = ctes("v_scores")
@@ -27,11 +27,11 @@ def scores(spark, sf_dir):
 
 
 def labelled_flows(spark, sf_dir):
-    rows = flow_features(flows(packets(spark, sf_dir), IDLE, splt=False))
+    rows = flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False))
     return ev.label_flows(rows, view(spark, sf_dir, "v_flow_labels"))
 
 
-_FLOW_LABELS = flow_ctes(None, ("v_packets", "v_flow_labels")) + """,
+_FLOW_LABELS = flow_ctes(30_000_000, ("v_packets", "v_flow_labels")) + """,
 lf as (select ff.*, cls label from ff join v_flow_labels using (src_ip, dst_ip, src_port, dst_port, protocol))"""
 
 
@@ -126,11 +126,11 @@ def variant_table(spark, sf_dir):
     return ev.comparison_table(variant_comparison(spark, sf_dir))
 
 
-@query("flow_rule_labels", flow_ctes(None) + f""",
+@query("flow_rule_labels", flow_ctes(30_000_000) + f""",
 sc as (select flow_id, flow_start_us, {BEACON_SQL} b, {EXFIL_SQL} e from ff)
 select flow_id, flow_start_us, case when b >= 0.7 and b >= e then 'Botnet_C2_Beaconing' when e >= 0.7 then 'Data_Exfiltration' else 'benign' end rule_label from sc""")
 def flow_rule_labels(spark, sf_dir):
-    rows = fill_defaults(flow_features(flows(packets(spark, sf_dir), IDLE, splt=False)))
+    rows = fill_defaults(flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False)))
     return rows.select("flow_id", "flow_start_us", ev.rule_label([beaconing(), exfiltration()]).alias("rule_label"))
 
 
@@ -201,7 +201,7 @@ def _fit(kind, rows):
 @query("ml_flow_scores")
 def ml_flow_scores(spark, sf_dir):
     model = _fit("flow", _flow_training(spark, sf_dir))
-    rows = with_flow_vector(flow_features(flows(packets(spark, sf_dir), IDLE, splt=False)))
+    rows = with_flow_vector(flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False)))
     return forest.predict(rows, model, forest.CLASSES["flow"]).select("flow_id", "flow_start_us", "ml_class", F.round("ml_prob", 6).alias("ml_prob"))
 
 
