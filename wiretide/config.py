@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from math import gcd
 
 SECOND_US = 1_000_000
+DAY_US = 86_400 * SECOND_US
 
 
 @dataclass(frozen=True)

@@ -86,18 +86,21 @@ def save(model: ThreatModel, path: str) -> None:
 
 
 def load(path: str) -> ThreatModel | None:
-    """The stored model, or None when it is missing, unreadable or made for another vector layout."""
-    try:
-        parts = {kind: RandomForestClassificationModel.load(f"{path}/{kind}") for kind in ("flow", "host")}
-        meta = SparkSession.active().read.schema("kind string, threshold double, classes array<string>").json(f"{path}/meta")
-        rows = {row["kind"]: row for row in meta.collect()}
-        thresholds = {kind: rows[kind]["threshold"] for kind in parts}
-        classes = {kind: tuple(rows[kind]["classes"]) for kind in parts}
-    except Exception:  # detection goes on with rules only
+    """The stored model, or None where there is none or it was made for another vector layout.
+
+    Anything else that goes wrong is an error: detection must not silently go on with rules only.
+    """
+    spark = SparkSession.active()
+    meta_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    if not meta_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta_path):
         return None
+    parts = {kind: RandomForestClassificationModel.load(f"{path}/{kind}") for kind in ("flow", "host")}
+    meta = spark.read.schema("kind string, threshold double, classes array<string>").json(f"{path}/meta")
+    rows = {row["kind"]: row for row in meta.collect()}
     if any(parts[kind].numFeatures != len(LAYOUT[kind]) for kind in parts):
         return None
-    return ThreatModel(parts["flow"], parts["host"], thresholds, classes)
+    return ThreatModel(parts["flow"], parts["host"], {kind: rows[kind]["threshold"] for kind in parts},
+                       {kind: tuple(rows[kind]["classes"]) for kind in parts})
 
 
 def feature_importance(model: ThreatModel, kind: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wiretide.config import SECOND_US, CooldownConfig
+from wiretide.config import DAY_US, SECOND_US, CooldownConfig
 from wiretide.operators.chain import greedy_chain, materialize
 
 
@@ -50,12 +50,18 @@ def suppress_repeats(alerts: DataFrame, cfg: CooldownConfig = CooldownConfig(),
 def with_ids(alerts: DataFrame, after: int | Column = 0, bucket_us: int = SECOND_US) -> DataFrame:
     """Dense ids in (ts, flow_id, threat_class) order, counted on from ``after``.
 
-    Rows are numbered inside short time buckets; only one count per bucket is accumulated globally.
+    Rows are numbered inside short time buckets; only one count per day is accumulated globally.
     """
     rows = alerts.withColumn("_bucket", F.floor(F.unix_micros("ts") / F.lit(bucket_us)))
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = (rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-            .withColumn("_base", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n"))
+    # Bucket counts are accumulated inside their day, and only one count per day over all days
+    counts = (rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
+              .withColumn("_day", F.floor(F.col("_bucket") * F.lit(bucket_us) / F.lit(DAY_US))))
+    before = Window.unboundedPreceding, -1
+    days = (counts.groupBy("_day").agg(F.sum("_n").alias("_of_day"))
+            .withColumn("_days", F.coalesce(F.sum("_of_day").over(Window.orderBy("_day").rowsBetween(*before)), F.lit(0))))
+    in_day = Window.partitionBy("_day").orderBy("_bucket").rowsBetween(*before)
+    base = (counts.withColumn("_in_day", F.coalesce(F.sum("_n").over(in_day), F.lit(0))).join(days, "_day")
+            .select("_bucket", (F.col("_days") + F.col("_in_day")).alias("_base")))
     inside = Window.partitionBy("_bucket").orderBy("ts", "flow_id", "threat_class")
     start = after if isinstance(after, Column) else F.lit(after)
     return (rows.withColumn("_row", F.row_number().over(inside)).join(base, "_bucket")

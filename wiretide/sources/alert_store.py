@@ -19,8 +19,12 @@ def json_lines(alerts: DataFrame) -> DataFrame:
     return alerts.select(body.alias("value"))
 
 
-def append_json(alerts: DataFrame, path: str) -> None:
-    json_lines(alerts).write.mode("append").text(path)
+def append_json(alerts: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append JSON lines. With ``batch`` they go to a folder of that batch, which a retry replaces."""
+    if batch is None:
+        json_lines(alerts).write.mode("append").text(path)
+    else:
+        json_lines(alerts).write.mode("overwrite").text(f"{path}/batch={batch}")
 
 
 def append_table(alerts: DataFrame, path: str, batch: int | None = None) -> None:

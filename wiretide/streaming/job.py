@@ -35,18 +35,19 @@ def score_batch(closed: DataFrame, cfg: DetectionConfig = DetectionConfig(), mod
     if model is not None:
         rows = predict(with_flow_vector(rows), model.flow, model.classes["flow"])
     rules = built_in(cfg) if detectors is None else detectors
-    return to_alerts(flow_detections(rows, rules, model is not None, cfg.flow_threshold))
+    threshold = cfg.flow_threshold if model is None else model.thresholds["flow"]
+    return to_alerts(flow_detections(rows, rules, model is not None, threshold))
 
 
 def run_flows(packets: DataFrame, table: str, checkpoint: str, json: str | None = None,
               cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None) -> StreamingQuery:
-    """Score closed flows and append alerts. A retried batch replaces its own rows in the table."""
+    """Score closed flows and append alerts. A retried batch replaces its own rows in the table and its own lines."""
     def publish(batch: DataFrame, number: int) -> None:
         alerts = score_batch(batch, cfg, model).drop("dedup_key", "features", "explain_class", "order_us").persist()
         try:
             append_table(alerts, table, number)
             if json:
-                append_json(alerts, json)
+                append_json(alerts, json, number)
         finally:
             alerts.unpersist()
 
