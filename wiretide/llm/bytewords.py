@@ -41,13 +41,22 @@ def words(buffer: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
-    return run(_MULTIPLIER), run(pow(_MULTIPLIER, -1, 1 << 64))
+_PAGE_BITS = 16
+
+
+@functools.lru_cache(maxsize=64)
+def _powers(base: int, count: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2 ** 64."""
+    steps = np.full(count, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _power(base: int, places: np.ndarray, largest: int) -> np.ndarray:
+    """base ** place for each place, from two small tables."""
+    low = _powers(base, 1 << _PAGE_BITS)
+    high = _powers(pow(base, 1 << _PAGE_BITS, 1 << 64), (largest >> _PAGE_BITS) + 1)
+    return high[places >> _PAGE_BITS] * low[places & ((1 << _PAGE_BITS) - 1)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -66,8 +75,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each slice: a polynomial in its bytes, from prefix sums over the whole buffer."""
-    size = 1 << max(16, int(buffer.size).bit_length())
-    up, down = _powers(size)
     sums = np.zeros(buffer.size + 1, np.uint64)
-    np.cumsum(_byte_values()[buffer] * up[: buffer.size], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_byte_values()[buffer] * _power(_MULTIPLIER, np.arange(buffer.size), buffer.size), out=sums[1:])
+    back = _power(pow(_MULTIPLIER, -1, 1 << 64), starts, buffer.size)
+    return mixed((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +14,49 @@ from pyspark.sql import DataFrame, SparkSession
 from wiretide.session import checkpoint_dir
 
 
+#: Bytes of the batches that tasks exchange with Python. Whole texts make large rows, and both sides hold a batch twice.
+BATCH_LIMIT = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_LIMIT))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _passing_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as its result is there: they are of no more use."""
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared checkpoint folder and read back, so that no lost executor can undo them."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _passing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """The rows of a table of bounded size."""
+    with _passing_shuffles(df.sparkSession):
+        return df.toPandas()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column as one array and the border of each row in it; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

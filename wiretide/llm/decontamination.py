@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wiretide.llm import bytewords
-from wiretide.llm.common import stored, text_batches, utf8
+from wiretide.llm.common import bounded_batches, stored, text_batches, utf8
 from wiretide.llm.fmindex import FMIndex
 
 WINDOW = 10
 #: Text bytes of one training shard, and of the benchmark texts that go through the documents in one pass.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+SHARD_BYTES, BLOCK_BYTES = 2 << 20, 1 << 20
 
 
 class Phrases:
@@ -104,6 +104,7 @@ class Phrases:
 
 def phrase_blocks(bench: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES):
     """The benchmark in blocks of bounded size. An item without id can be hit but is never named."""
+    bounded_batches(bench.sparkSession)
     items = bench.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-size // block_bytes)
