@@ -32,7 +32,8 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextlib.contextmanager
 def _passing_shuffles(spark: SparkSession):
-    """Shuffle files of what runs inside go as soon as its result is there: they are of no more use."""
+    """Let Spark drop the shuffle files of what runs inside at its end. Files behind a written table may stay until the
+    driver's references to them are collected."""
     before = spark.conf.get(_CLEAN_UP)
     spark.conf.set(_CLEAN_UP, "true")
     try:
