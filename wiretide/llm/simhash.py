@@ -231,9 +231,13 @@ def near_duplicates(docs: DataFrame, *extra: str) -> DataFrame:
     rows = docs.select("doc_id", *extra, "text")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in ("doc_id", *extra)), "fp long"])
-    fps = stored(rows.mapInArrow(_fingerprints, schema))
+    return rooted_classes(stored(rows.mapInArrow(_fingerprints, schema)), links)
+
+
+def rooted_classes(fps: DataFrame, linked) -> DataFrame:
+    """The rows of ``fps`` (doc_id, fp, others) with root and component_id, from the links that ``linked`` finds among distinct fp."""
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    roots = stars(links(distinct.select("fp")))
+    roots = stars(linked(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     classes = stored(rooted.join(smallest, "root").select("fp", "root", "component_id"))
@@ -244,10 +248,10 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component: the one with the smallest doc_id. All columns stay as they are."""
+def one_of_each(docs: DataFrame, near=near_duplicates) -> DataFrame:
+    """The documents with one of each component that ``near`` finds: the one with the smallest doc_id. All columns stay as they are."""
     text = F.xxhash64("text")
-    found = near_duplicates(docs.withColumn("_text", text), "_text")
+    found = near(docs.withColumn("_text", text), "_text")
     kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
             .agg(F.min(F.struct("doc_id", "_text")).alias("kept")).select("kept.doc_id", "kept._text").withColumnRenamed("doc_id", "_id"))
     rows = docs.withColumn("_text", text)
