@@ -86,3 +86,19 @@ def test_index_finds_every_place():
     low, high = index.search(phrases, lengths)
     for p, n, a, b in zip(phrases, lengths, low, high):
         assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(400) if symbols[i:i + n].tolist() == p[:n].tolist()]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
+def test_blocks_of_the_benchmark_do_not_change_what_is_cut(spark, make_docs, block_bytes):
+    w = [f"w{i}" for i in range(60)]
+    shared = " ".join(w[:12])
+    bench = [(i, f"{shared} question {w[20 + i]} of item {i}") for i in range(8)]
+    bench += [(20 + i, " ".join(f"x{i}y{j}" for j in range(10))) for i in range(8)]
+    docs = [(i, f"before, {text}; after") for i, (_, text) in enumerate(bench[:8])]
+    # Cutting one item joins the words of another
+    docs += [(100 + 8 * i + j, " ".join([*b.split()[:4], a, *b.split()[4:], "end"])) for i, (_, a) in enumerate(bench[8:]) for j, (_, b) in enumerate(bench[8:]) if i != j]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontamination.decontaminated(make_docs(docs), items, block_bytes=block_bytes)
+    texts = {r.doc_id: (r.text, r.n_chars) for r in got.collect()}
+    assert texts.keys() == {i for i, _ in docs}
+    assert all(n == len(t) and words(t) == (["before", "after"] if i < 100 else ["end"]) for i, (t, n) in texts.items())

@@ -13,6 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from wiretide.llm import bytewords
 from wiretide.llm.common import bounded_batches, stored, text_batches, utf8
@@ -171,6 +172,17 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_
     return state.mapInArrow(_report(waiting, True), result)
 
 
+def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> bytes:
+    """The text without the spans of words that are hit."""
+    mask = np.concatenate([[False], hit, [False]])
+    borders = np.flatnonzero(mask[1:] != mask[:-1])
+    at, kept = 0, []
+    for a, b in zip(borders[::2], borders[1::2]):
+        kept.append(text[at:starts[a]])
+        at = ends[b - 1]
+    return b"".join([*kept, text[at:]])
+
+
 def without_spans(phrases: Phrases, texts: list[bytes]) -> list[bytes]:
     """The texts after removing every hit span, again until none is left: cutting may bring words together."""
     todo = list(range(len(texts)))
@@ -182,41 +194,80 @@ def without_spans(phrases: Phrases, texts: list[bytes]) -> list[bytes]:
         changed = []
         for row in np.unique(rows[hit]):
             first, after = np.searchsorted(rows, [row, row + 1])
-            mask = np.concatenate([[False], hit[first:after], [False]])
-            borders = np.flatnonzero(mask[1:] != mask[:-1])
-            text, at, kept = texts[todo[row]], 0, []
-            for a, b in zip(borders[::2], borders[1::2]):
-                kept.append(text[at:starts[first + a] - offsets[row]])
-                at = ends[first + b - 1] - offsets[row]
-            kept.append(text[at:])
-            texts[todo[row]] = b"".join(kept)
+            texts[todo[row]] = _cut(texts[todo[row]], starts[first:after] - offsets[row], ends[first:after] - offsets[row], hit[first:after])
             changed.append(todo[row])
         todo = changed
     return texts
 
 
+def _replaced(part, before: list[bytes], after: list[bytes], at: int, count: int | None) -> list:
+    """The columns of a batch with new texts, and their lengths where they changed."""
+    new = [t if a == b else a.decode() for t, a, b in zip(part.column(at).to_pylist(), after, before)]
+    columns = part.columns
+    columns[at] = pa.array(new, pa.string())
+    if count is not None:
+        columns[count] = pa.array([n if a == b else len(t) for n, t, a, b in zip(part.column(count).to_pylist(), new, after, before)],
+                                  part.schema.field(count).type)
+    return columns
+
+
 def _cleaner(phrases: Phrases, at: int, count: int | None):
     def clean(batches):
         for part in text_batches(batches, SHARD_BYTES):
-            texts = part.column("text").to_pylist()
-            before = [t.encode() if t is not None else b"" for t in texts]
-            after = without_spans(phrases, before)
-            new = [t if a == b else a.decode() for t, a, b in zip(texts, after, before)]
-            columns = part.columns
-            columns[at] = pa.array(new, pa.string())
-            if count is not None:
-                columns[count] = pa.array([n if a == b else len(t) for n, t, a, b in zip(part.column(count).to_pylist(), new, after, before)],
-                                          part.schema.field(count).type)
-            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+            before = [t.encode() if t is not None else b"" for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(_replaced(part, before, without_spans(phrases, before), at, count), names=part.schema.names)
     return clean
 
 
+def _spanned(phrases: Phrases, last: bool, at: int, count: int | None):
+    """A pass of one block over rows with ``_spans``: adds its hit words on the unchanged text; the last one cuts and tells whether it did."""
+    def scan(batches):
+        for part in text_batches(batches, SHARD_BYTES):
+            buffer, offsets = utf8(part.column("text"))
+            starts, ends, rows, hit, _ = phrases.find(buffer, offsets)
+            first = np.searchsorted(rows, np.arange(part.num_rows + 1))
+            for row, spans in enumerate(part.column("_spans").to_pylist()):
+                for a, b in zip(spans[::2], spans[1::2]):
+                    hit[first[row] + a:first[row] + b] = True
+            each = [slice(first[row], first[row + 1]) for row in range(part.num_rows)]
+            if last:
+                before = [buffer[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+                after = [_cut(text, starts[s] - offset, ends[s] - offset, hit[s]) for text, s, offset in zip(before, each, offsets)]
+                columns = _replaced(part, before, after, at, count)
+                flags = pa.array([bool(hit[s].any()) for s in each], pa.bool_())
+            else:
+                columns = part.columns
+                masks = [np.concatenate([[False], hit[s], [False]]) for s in each]
+                flags = pa.array([np.flatnonzero(m[1:] != m[:-1]).tolist() for m in masks], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns[:-1], flags], names=[*part.schema.names[:-1], "_cut" if last else "_spans"])
+    return scan
+
+
 def decontaminated(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the spans of words that occur in the benchmark; all else, n_chars apart, stays as it is.
 
     Nulls, repeated rows and further columns are kept. A document that consists of spans only keeps what lies between.
+    Spans are cut at once for the whole benchmark, whatever its blocks, and again in what was cut until none is left.
     """
     names = docs.columns
-    for phrases in phrase_blocks(bench, width, block_bytes):
-        docs = docs.mapInArrow(_cleaner(phrases, names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
-    return docs
+    at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    blocks = phrase_blocks(bench, width, block_bytes)
+    phrases, more = next(blocks, None), next(blocks, None)
+    if phrases is None:
+        return docs
+    if more is None:
+        return docs.mapInArrow(_cleaner(phrases, at, count), docs.schema)
+    done, todo = None, docs
+    while True:
+        state = todo.withColumn("_spans", F.expr("cast(array() as array<bigint>)"))
+        spanned, waiting = state.schema, None
+        for phrases in phrase_blocks(bench, width, block_bytes):
+            if waiting is not None:
+                state = state.mapInArrow(_spanned(waiting, False, at, count), spanned)
+            waiting = phrases
+        state = stored(state.mapInArrow(_spanned(waiting, True, at, count), StructType([*docs.schema.fields, StructField("_cut", BooleanType())])))
+        rest = state.filter("not _cut").drop("_cut")
+        done = rest if done is None else done.unionByName(rest)
+        todo = state.filter("_cut").drop("_cut")
+        if todo.isEmpty():
+            return done
