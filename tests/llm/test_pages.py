@@ -28,6 +28,27 @@ def test_open_blocks_take_the_nearest_label():
     assert pages.first_pass("xq zv " * 40, 0, "outside") is False and pages.first_pass("a link here", 11, "article") is False
 
 
+RUSSIAN = "Вчера вечером жители города собрались на площади, чтобы обсудить новый план застройки набережной и парка у реки."
+GREEK = "Το απόγευμα οι κάτοικοι της πόλης συγκεντρώθηκαν στην πλατεία για να συζητήσουν το νέο σχέδιο της παραλίας."
+CHINESE = "昨天晚上市民聚集在广场上讨论新的滨河公园建设方案并提出了许多意见和建议"
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, GREEK, CHINESE])
+def test_text_without_an_article_in_other_scripts_stays(text):
+    menu = "<div><a href=1>" + text[:12] + "</a> <a href=2>" + text[12:24] + "</a></div>"
+    page = f"<body>{menu}<div><h1>{text[:9]}</h1><p>{text}</p><p>{text} <a href=z>{text[:5]}</a> {text}</p></div>{menu}"
+    assert pages.main_text(page) == f"{text[:9]}\n{text}\n{text} {text[:5]} {text}"
+    assert pages.main_text(f"<body>{menu}<table><tr><td><p>{text}</p></td></tr></table>{menu}") == text
+    notice = "<p>We use this site and the cookies of it to be with you all as it was.</p>"
+    assert text in pages.main_text(page + notice)
+
+
+def test_tables_lists_and_code_of_a_page_without_an_article_stay():
+    code, item, cell = "x = [y ** 2 for y in range(100)]; print(x, x[0]); " * 3, "flour 500g, butter 250g, sugar 200g, eggs 4, milk 300ml, vanilla 1 pod", "Berlin 3,769,000; Hamburg 1,899,000; Munich 1,488,000; Cologne 1,086,000"
+    page = f"<div><p>{LONG}</p><pre>{code}</pre><ul><li>{item}</li></ul><table><tr><td>{cell}</td></tr></table><p>{LONG}</p><ul><li><a href=x>{item}</a></li></ul></div>"
+    assert pages.main_text(page) == "\n".join([LONG.strip(), code.strip(), item, cell, LONG.strip()])
+
+
 def test_long_and_broken_pages_end():
     assert pages.main_text("<article><p>" + "word " * 200_000) == ("word " * 200_000).strip()
     assert pages.main_text("<div class=\"x" * 3000 + "<p>end") is not None and pages.main_text("<" * 5000) is not None

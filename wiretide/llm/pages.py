@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 First pass: markup says what is a menu, a notice or the article; elsewhere the density of stop words, the share of link
-text and the length of a block decide, or leave it open. Second pass: open blocks take the label of the nearest decided
-block. Blocks keep the order of the page.
+text and the length of a block decide, or leave it open. The density counts only on pages whose blocks show that the lists
+fit their language, and not in tables, lists and code. Second pass: open blocks take the label of the nearest decided block.
+Blocks keep the order of the page.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ _WORD = re.compile(r"[A-Za-z0-9]+")
 _BREAKING = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2
 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
 _CONTAINERS = _BREAKING - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "li", "tr", "td", "th", "dt", "dd", "option"}
+_DATA_TAGS = frozenset("table pre ul ol dl".split())
 _BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 _BOILERPLATE_NAMES = frozenset("""ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
 copyright disqus footer gdpr header menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related share sharing
@@ -46,6 +48,8 @@ sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget com
 
 #: Rules of the first pass.
 LONG, SHORT, LINKS, MANY_STOP_WORDS, SOME_STOP_WORDS = 200, 70, 0.5, 0.25, 0.1
+#: Most link text of a long block that is kept in a language without a list, and what a character of a script without spaces counts.
+FEW_LINKS, DENSE = 0.2, 3
 
 
 def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -61,7 +65,7 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(text, characters inside links, place) of each block; the place is article, outside or boilerplate."""
+    """(text, characters inside links, place) of each block; the place is article, outside, data (a table, list or code outside) or boilerplate."""
     found, parts, linked, links = [], [], 0, 0
     stack: list[tuple[str, str]] = []
     place, at, last_break = "outside", 0, -2
@@ -109,6 +113,8 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
                             inner = "boilerplate"
                         elif tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?main", attributes, re.I):
                             inner = "article"
+                        elif tag in _DATA_TAGS and place == "outside":
+                            inner = "data"
                     stack.append((tag, inner))
                 place = stack[-1][1] if stack else "outside"
             elif not closing and attributes and place != "boilerplate" and _boilerplate(tag, attributes, True):
@@ -129,27 +135,47 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
     return found
 
 
-def first_pass(text: str, linked: int, place: str) -> bool | None:
-    """True for main text, False for boilerplate, None where only the neighbours can tell."""
+def _length(text: str) -> int:
+    return len(text) + (DENSE - 1) * sum(c >= "\u2e80" for c in text)
+
+
+def _stop_words(text: str) -> float:
+    words = text.lower().split()
+    return sum(word.strip(".,;:!?()\"'") in STOP_WORDS for word in words) / len(words)
+
+
+def lists_fit(found: list[tuple[str, int, str]]) -> bool:
+    """Whether at least half of the text in longer blocks outside tables, lists and code (in them, if all are) has some stop words."""
+    long = [(text, place) for text, linked, place in found if place in ("outside", "data") and linked <= LINKS * len(text) and _length(text) >= SHORT]
+    texts = [text for text, place in long if place == "outside"] or [text for text, _ in long]
+    return 2 * sum(_length(t) for t in texts if _stop_words(t) >= SOME_STOP_WORDS) >= sum(map(_length, texts))
+
+
+def first_pass(text: str, linked: int, place: str, fit: bool = True) -> bool | None:
+    """True for main text, False for boilerplate, None where only the neighbours can tell. ``fit`` is what lists_fit says of the page."""
     if place == "boilerplate" or linked > LINKS * len(text):
         return False
     if place == "article":
         return True
-    if len(text) < SHORT:
+    if (len(text) if fit else _length(text)) < SHORT:
         return False if linked else None
-    words = text.lower().split()
-    stop_words = sum(word.strip(".,;:!?()\"'") in STOP_WORDS for word in words) / len(words)
+    stop_words = _stop_words(text)
     if stop_words >= MANY_STOP_WORDS:
         return True
     if stop_words >= SOME_STOP_WORDS:
         return True if len(text) >= LONG else None
-    return False
+    if fit:
+        return None if place == "data" else False
+    if not linked or (_length(text) >= LONG and linked <= FEW_LINKS * len(text)):
+        return True
+    return None
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds."""
     found = blocks(page or "")
-    labels = [first_pass(*block) for block in found]
+    fit = lists_fit(found)
+    labels = [first_pass(*block, fit) for block in found]
     if any(place == "article" and label for (_, _, place), label in zip(found, labels)):
         labels = [label and place == "article" for (_, _, place), label in zip(found, labels)]
     decided = np.array([i for i, label in enumerate(labels) if label is not None], np.int64)
