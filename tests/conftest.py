@@ -5,10 +5,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from helpers import T0  # noqa: E402
 from wiretide.session import local_session  # noqa: E402
 
-T0 = 1_700_000_000_000_000
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,7 +1,9 @@
-"""Byte builders for payload tests."""
+"""Byte builders for payload tests and the time at which test packets start."""
 
 import struct
 
+T0 = 1_700_000_000_000_000
+
 
 def _sized(width, data):
     return len(data).to_bytes(width, "big") + data

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from conftest import T0
+from helpers import T0
 from wiretide.config import DetectionConfig
 from wiretide.models import evaluation as ev
 from wiretide.models import forest

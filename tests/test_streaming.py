@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import T0
+from helpers import T0
 from wiretide.config import FlowConfig, WindowConfig
 from wiretide.operators.alerts import suppress_repeats
 from wiretide.operators.flows import flows
