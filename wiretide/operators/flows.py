@@ -22,7 +22,7 @@ _SUMS = ("packet_count", "total_bytes", "payload_bytes", "length_squares", "gaps
          *[f"{flag}_count" for flag in FLAGS[:5]])
 
 
-def _prepare(packets: DataFrame, cfg: FlowConfig, payloads: bool) -> DataFrame:
+def prepare(packets: DataFrame, cfg: FlowConfig, payloads: bool) -> DataFrame:
     """Time bucket, and of the payload only what a flow can use, before anything is shuffled."""
     added = {"bucket": F.floor(F.col("ts_us") / F.lit(cfg.bucket_us))}
     if payloads:
@@ -108,7 +108,7 @@ def flows(packets: DataFrame, cfg: FlowConfig = FlowConfig(), payloads: bool | N
     it follows the presence of ``raw_payload``."""
     if payloads is None:
         payloads = "raw_payload" in packets.columns
-    packets = _prepare(packets, cfg, payloads)
+    packets = prepare(packets, cfg, payloads)
     slots = _slot_rows(packets, cfg, splt, payloads, []).withColumn("is_cut", F.lit(False))
     if cfg.active_us is not None:
         slots = _split_at_cuts(slots, packets, cfg, splt, payloads)
@@ -125,7 +125,7 @@ def flows(packets: DataFrame, cfg: FlowConfig = FlowConfig(), payloads: bool | N
     if payloads:
         merged += [_merge_first(cfg.max_samples, "payload_samples"),
                    F.min_by("tls_client_hello", "hello_seen").alias("tls_client_hello")]
-    return _finish(slots.groupBy(*KEY, "flow_start_us").agg(*merged), cfg, splt)
+    return finish(slots.groupBy(*KEY, "flow_start_us").agg(*merged), cfg, splt)
 
 
 def _variance(squares: str, total: str, count: str) -> Column:
@@ -135,7 +135,7 @@ def _variance(squares: str, total: str, count: str) -> Column:
     return F.greatest(F.lit(0.0), numerator.cast("double") / (F.col(count).cast("double") * F.col(count)))
 
 
-def _finish(folded: DataFrame, cfg: FlowConfig, splt: bool) -> DataFrame:
+def finish(folded: DataFrame, cfg: FlowConfig, splt: bool) -> DataFrame:
     """Derived times, moments, rates and ratios."""
     second = F.lit(1e6)
     zero = F.lit(0.0)

@@ -59,7 +59,7 @@ def window_rows(panes: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFra
                           "second": F.floor((F.col("pane") * F.lit(cfg.pane_us) - start) / F.lit(SECOND_US))}))
 
 
-def _protocol_parts() -> list[Column]:
+def protocol_parts() -> list[Column]:
     """Packet count and first packet per protocol, over rows that still carry the protocol."""
     parts = []
     for name in PROTOCOLS:
@@ -96,7 +96,7 @@ def target_facets(rows: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFr
     return (sets.agg(F.grouping("src_ip").alias("by_port"), F.sum("packets").alias("n"), F.sum("bytes").alias("bytes"),
                      F.sum("syn_only").alias("syn_only"), F.min("first_pkt").alias("first_pkt"),
                      F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"),
-                     *seconds, *_protocol_parts())
+                     *seconds, *protocol_parts())
             .withColumn("facet", F.when(F.col("by_port") == 1, F.lit("port")).otherwise(F.lit("source"))).drop("by_port"))
 
 
@@ -157,7 +157,7 @@ def probe_pairs(rows: DataFrame) -> DataFrame:
     """Packets and probes per (window, source, destination, port)."""
     return rows.groupBy(*_SOURCE, "dst_ip", "dst_port").agg(
         F.sum("packets").alias("packets"), F.sum("probes").alias("probes"), F.min("first_probe").alias("first_probe"),
-        F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"), *_protocol_parts())
+        F.min("first_ts_us").alias("first_ts_us"), F.max("last_ts_us").alias("last_ts_us"), *protocol_parts())
 
 
 def source_totals(pairs: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:

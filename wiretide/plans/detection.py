@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wiretide.config import DetectionConfig
 from wiretide.models.forest import BENIGN, ThreatModel, predict, with_explanation
@@ -34,16 +34,19 @@ def host_predictions(targets: DataFrame, sources: DataFrame, model: ThreatModel)
             .select("window_start_us", "host", "features", "ml_class", "ml_prob", "ml_probs"))
 
 
-def _reported(rows: DataFrame, rules: list[Detector], grain: str, model: bool) -> DataFrame:
-    """Rows of one grain on which a rule fires or the model sees an attack: few, so they are written once
-    and only they get their lists of sources or ports."""
+def reported(rules: list[Detector], grain: str, model: bool) -> Column:
+    """Whether a rule fires on a row of one grain or the model sees an attack."""
     fires = F.lit(False)
     for rule in rules:
         if rule.grain == grain:
             fires = fires | (rule.confidence() >= THREAT_LEVEL)
-    if model:
-        fires = fires | F.coalesce(F.col("ml_class") != BENIGN, F.lit(False))
-    return materialize(rows.filter(fires))
+    return fires | F.coalesce(F.col("ml_class") != BENIGN, F.lit(False)) if model else fires
+
+
+def with_opinions(targets: DataFrame, sources: DataFrame, opinions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both views of the hosts with what the model says of them."""
+    return (targets.join(opinions.withColumnRenamed("host", "dst_ip"), ["window_start_us", "dst_ip"], "left"),
+            sources.join(opinions.withColumnRenamed("host", "src_ip"), ["window_start_us", "src_ip"], "left"))
 
 
 def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None,
@@ -70,17 +73,17 @@ def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), mod
     if with_model:
         targets, sources = _together(spark, lambda: materialize(targets), lambda: materialize(sources))
         opinions = materialize(host_predictions(targets, sources, model))
-        targets = targets.join(opinions.withColumnRenamed("host", "dst_ip"), ["window_start_us", "dst_ip"], "left")
-        sources = sources.join(opinions.withColumnRenamed("host", "src_ip"), ["window_start_us", "src_ip"], "left")
-    hit_targets, hit_sources = _together(spark, lambda: _reported(targets, rules, "target", with_model),
-                                         lambda: _reported(sources, rules, "source", with_model))
+        targets, sources = with_opinions(targets, sources, opinions)
+    # Reported rows are few, so they are written once and only they get their lists of sources or ports
+    hit_targets, hit_sources = _together(spark, lambda: materialize(targets.filter(reported(rules, "target", with_model))),
+                                         lambda: materialize(sources.filter(reported(rules, "source", with_model))))
     host_part = (target_detections(with_top_sources(hit_targets, panes, cfg.window), rules, with_model, thresholds["host"])
                  .unionByName(source_detections(with_probed_ports(hit_sources, pairs), rules, with_model, thresholds["host"]))
                  .withColumn("kind", F.lit("host")))
     return flow_part.unionByName(host_part)
 
 
-def _with_factors(alerts: DataFrame, model: ThreatModel) -> DataFrame:
+def with_factors(alerts: DataFrame, model: ThreatModel) -> DataFrame:
     """Append the model's strongest factors to the evidence of the alerts in which the model speaks."""
     asked = F.col("explain_class").isNotNull()
     out = alerts.filter(~asked)
@@ -98,7 +101,7 @@ def run(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: Thr
     """Published alerts with ids. Without a model only the rules speak."""
     published = suppress_repeats(to_alerts(detections(packets, cfg, model, detectors)), cfg.cooldown)
     if model is not None:
-        published = _with_factors(materialize(published), model)
+        published = with_factors(materialize(published), model)
     return with_ids(published.drop("dedup_key", "order_us", "kind", "features", "explain_class"), after_id)
 
 

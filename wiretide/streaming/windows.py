@@ -1,65 +1,65 @@
-"""Streaming host windows. The grid is anchored at the epoch, since a stream has no first packet."""
+"""Streaming host windows. The grid is anchored at the epoch, since a stream has no first packet.
+
+Two chained stateful aggregations: closed panes of packets, then closed windows of pane rows. The second one keeps a row
+per window and facet, in the layout of the batch plan, and all rows of a window leave it in one micro-batch. What follows
+(totals, top sources, probed ports) is the batch code on the rows of closed windows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wiretide.config import WindowConfig
+from wiretide.config import SECOND_US, WindowConfig
+from wiretide.operators.windows import protocol_parts
 from wiretide.schema import half_open, is_probe, normalize_packets
 
 LATENESS = "2 seconds"
 
 
-def _window(cfg: WindowConfig) -> Column:
+def _sliding(time: Column, cfg: WindowConfig) -> Column:
     size, slide = f"{cfg.size_us} microseconds", f"{cfg.slide_us} microseconds"
-    return F.window("ts", size) if size == slide else F.window("ts", size, slide)
-
-
-def _distinct(column: str, exact: bool) -> Column:
-    """Exact distinct counts keep the set in state; the sketch keeps a few kilobytes per group."""
-    return F.size(F.collect_set(column)).cast("long") if exact else F.approx_count_distinct(column)
-
-
-def _prepared(packets: DataFrame, lateness: str) -> DataFrame:
-    return normalize_packets(packets.withWatermark("ts", lateness))
-
-
-def fan_in_stream(packets: DataFrame, cfg: WindowConfig = WindowConfig(), lateness: str = LATENESS, exact: bool = False) -> DataFrame:
-    """Target aggregates per closed window, with the columns the flood rule needs."""
-    rows = _prepared(packets, lateness).withColumn("w", _window(cfg))
-    rows = rows.withColumn("second", F.floor((F.col("ts_us") - F.unix_micros("w.start")) / F.lit(1_000_000)))
-    peaks = [F.count_if(F.col("second") == i) for i in range(cfg.seconds)]
-    n = F.count("*")
-    return (rows.groupBy("w", "dst_ip")
-            .agg(n.alias("packets"), F.sum("packet_length").alias("bytes"),
-                 (F.greatest(*peaks) if len(peaks) > 1 else peaks[0]).alias("peak_pps"),
-                 (F.count_if(half_open()) / n).alias("syn_only_ratio"),
-                 (F.count_if(F.col("protocol") == "UDP") / n).alias("udp_ratio"),
-                 _distinct("src_ip", exact).alias("unique_sources"),
-                 F.max("ts_us").alias("last_ts_us"))
-            .select(F.unix_micros("w.start").alias("window_start_us"), F.unix_micros("w.end").alias("window_end_us"), "dst_ip",
-                    "packets", "bytes", "peak_pps", "syn_only_ratio", "udp_ratio", "unique_sources", "last_ts_us"))
-
-
-def fan_out_stream(packets: DataFrame, cfg: WindowConfig = WindowConfig(), lateness: str = LATENESS) -> DataFrame:
-    """Probe totals per closed window, source and contacted host; fan-out figures follow per batch."""
-    rows = _prepared(packets, lateness).withColumns({"w": _window(cfg), "probe": is_probe()})
-    ports = F.collect_set(F.when(F.col("probe"), F.col("dst_port")))
-    return (rows.groupBy("w", "src_ip", "dst_ip")
-            .agg(F.count("*").alias("packets"), F.count_if("probe").alias("probes"), ports.alias("probed_ports"),
-                 F.max("ts_us").alias("last_ts_us"))
-            .select(F.unix_micros("w.start").alias("window_start_us"), F.unix_micros("w.end").alias("window_end_us"), "src_ip",
-                    "dst_ip", "packets", "probes", "probed_ports", "last_ts_us"))
-
-
-def fan_out_batch(hosts: DataFrame) -> DataFrame:
-    """Source aggregates from the closed windows of one micro-batch (windows close as a whole)."""
-    keys = ["window_start_us", "window_end_us", "src_ip"]
-    fan = F.size("probed_ports")
-    best = hosts.groupBy(*keys).agg(
-        F.sum("packets").alias("packets"), F.sum("probes").alias("probes"), F.count("*").alias("unique_targets"),
-        F.max(fan).cast("long").alias("max_ports_on_one_host"), F.max("last_ts_us").alias("last_ts_us"))
-    by_port = (hosts.select(*keys, F.explode("probed_ports").alias("port")).groupBy(*keys, "port").agg(F.count("*").alias("hosts"))
-               .groupBy(*keys).agg(F.max("hosts").alias("max_hosts_on_one_port")))
-    return (best.join(by_port, keys, "left").fillna({"max_hosts_on_one_port": 0})
-            .withColumn("probe_ratio", F.col("probes") / F.col("packets")))
+    return F.window(time, size) if size == slide else F.window(time, size, slide)
+
+
+def facet_stream(packets: DataFrame, cfg: WindowConfig = WindowConfig(), lateness: str = LATENESS) -> DataFrame:
+    """Rows of closed windows: per target and source (facet ``source``), per target and port (``port``), and per source,
+    target and port (``pair``), the two ends in ``host`` and ``other``."""
+    probe = is_probe()
+    panes = (normalize_packets(packets.withWatermark("ts", lateness))
+             .groupBy(F.window("ts", f"{cfg.pane_us} microseconds").alias("pane"), "src_ip", "dst_ip", "dst_port", "protocol")
+             .agg(F.count("*").alias("packets"), F.sum("packet_length").cast("long").alias("bytes"), F.count_if(half_open()).alias("syn_only"),
+                  F.count_if(probe).alias("probes"), F.min("pkt_id").alias("first_pkt"), F.min(F.when(probe, F.col("pkt_id"))).alias("first_probe"),
+                  F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us")))
+    rows = panes.withColumn("w", _sliding(F.window_time("pane"), cfg))
+    rows = rows.withColumn("second", F.floor((F.unix_micros("pane.start") - F.unix_micros("w.start")) / F.lit(SECOND_US)))
+    none = F.lit(None)
+    facets = F.array(F.struct(F.lit("source").alias("facet"), F.col("dst_ip").alias("host"), F.col("src_ip").alias("other"), none.cast("int").alias("port")),
+                     F.struct(F.lit("port").alias("facet"), F.col("dst_ip").alias("host"), none.cast("string").alias("other"), F.col("dst_port").alias("port")),
+                     F.struct(F.lit("pair").alias("facet"), F.col("src_ip").alias("host"), F.col("dst_ip").alias("other"), F.col("dst_port").alias("port")))
+    seconds = [F.sum(F.when(F.col("second") == i, F.col("packets")).otherwise(F.lit(0))).alias(f"second_{i}") for i in range(cfg.seconds)]
+    closed = (rows.withColumn("f", F.explode(facets)).groupBy("w", "f")
+              .agg(*(F.sum(c).alias(c) for c in ("packets", "bytes", "syn_only", "probes")),
+                   *(F.min(c).alias(c) for c in ("first_pkt", "first_probe", "first_ts_us")), F.max("last_ts_us").alias("last_ts_us"),
+                   *seconds, *protocol_parts()))
+    return closed.select(F.unix_micros("w.start").alias("window_start_us"), "f.*", *[c for c in closed.columns if c not in ("w", "f")])
+
+
+def target_rows(closed: DataFrame) -> DataFrame:
+    """Closed rows in the layout of ``target_facets``."""
+    return (closed.filter("facet <> 'pair'").drop("probes", "first_probe")
+            .withColumnsRenamed({"host": "dst_ip", "other": "src_ip", "port": "dst_port", "packets": "n"}))
+
+
+def pair_rows(closed: DataFrame) -> DataFrame:
+    """Closed rows in the layout of ``probe_pairs``."""
+    unused = [c for c in closed.columns if c.startswith("second_")]
+    return (closed.filter("facet = 'pair'").drop("facet", "bytes", "syn_only", "first_pkt", *unused)
+            .withColumnsRenamed({"host": "src_ip", "other": "dst_ip", "port": "dst_port"}))
+
+
+def until_last_window(closed: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
+    """Of the windows that were still open at the end of a stream, those that the batch grid has: up to the first one that
+    was open when the last packet came."""
+    last = closed.agg(F.max("last_ts_us").alias("t")).scalar()
+    first_open = F.floor((last - F.lit(cfg.size_us)) / F.lit(cfg.slide_us)) + 1
+    return closed.filter(F.col("window_start_us") <= F.greatest(first_open, F.lit(0)) * F.lit(cfg.slide_us))
