@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from helpers import ipv4, pcap, pcapng, tcp, udp
@@ -80,6 +82,43 @@ def test_chunking_does_not_change_the_packets(spark, tmp_path):
     assert chunk_index(spark, str(tmp_path), chunk_bytes=500).count() > 20
 
 
+def sequential(path, chunk_bytes):
+    """(offset, length, first frame) of the chunks of a little-endian pcap file, by one walk."""
+    data, at, frame, chunks = path.read_bytes(), 24, 1, {}
+    while at + 16 <= len(data):
+        size = 16 + int.from_bytes(data[at + 8:at + 12], "little")
+        first, length, n = chunks.get(at // chunk_bytes, (at, 0, frame))
+        chunks[at // chunk_bytes] = (first, length + min(size, len(data) - at), n)
+        at, frame = at + size, frame + 1
+    return sorted(chunks.values())
+
+
+def index(spark, folder, chunk_bytes, segment_chunks):
+    rows = chunk_index(spark, str(folder), chunk_bytes=chunk_bytes, segment_chunks=segment_chunks).filter("length > 0").collect()
+    return sorted((r.offset, r.length, r.first_frame) for r in rows)
+
+
+@pytest.mark.parametrize("segment_chunks", [1, 3, 1000])
+def test_segments_walk_what_one_walk_does(spark, tmp_path, segment_chunks):
+    rng = random.Random(1)
+    inner = pcap([(T + i, SYN) for i in range(30)])  # a capture inside a packet: borders that only look like some
+    frames = [(T + 1000 * i, ETHERNET + SYN + rng.randbytes(rng.choice([0, 0, 3, 400]))) for i in range(400)]
+    frames[100:100] = [(T, ETHERNET + DNS + inner), (T, ETHERNET + bytes(3000)), (T, inner * 3)]
+    (tmp_path / "a.pcap").write_bytes(pcap(frames))
+    want = sequential(tmp_path / "a.pcap", 700)
+    assert index(spark, tmp_path, 700, segment_chunks) == want and len(want) > 50
+    assert [r.frame for r in read(spark, tmp_path, chunk_bytes=700)] == [i + 1 for i, (_, f) in enumerate(frames) if f.startswith(ETHERNET) and any(f[14:])]
+
+
+def test_segments_of_pcapng_and_odd_clocks(spark, tmp_path):
+    (tmp_path / "a.pcapng").write_bytes(pcapng([(T + i, SYN if i % 2 else DNS + bytes(i)) for i in range(200)]))
+    assert index(spark, tmp_path, 600, 2) == index(spark, tmp_path, 600, 1000)
+    (tmp_path / "a.pcapng").unlink()
+    # Times far from the first record's defeat the guess, not the walk; so does a record longer than a segment
+    (tmp_path / "b.pcap").write_bytes(pcap([(T if i == 0 else 0, SYN + bytes(9000 if i == 40 else 0)) for i in range(80)])[:-5])
+    assert index(spark, tmp_path, 500, 2) == sequential(tmp_path / "b.pcap", 500)
+
+
 def test_a_cap_counts_packets_only(spark, tmp_path):
     arp = b"\0" * 12 + b"\x08\x06" + b"\0" * 28
     (tmp_path / "a.pcap").write_bytes(pcap([(T + i, arp) for i in range(5)] + [(T + 5 + i, ETHERNET + SYN) for i in range(10)]))

@@ -1,9 +1,12 @@
 """Capture files to packet rows.
 
-Record borders in a capture are known only by walking it, so the job has two steps. The first walks
-record headers of each file and cuts it into chunks; the second reads the chunks, spread over all
-tasks, and decodes their frames. A capture of any size is decoded in parallel, and only chunk
-descriptions travel between the steps.
+Record borders in a capture are known only by walking it. The first step cuts every file into segments that
+are walked in parallel: a task finds a border in its segment by a chain of plausible headers and walks on
+from there. That the guess was right is proved by the neighbour: the first segment starts at the file
+header, and where one segment's walk ends in front of the border from which the next one started, both have
+walked what a single walk would have. A segment that disagrees is walked again from where the one before
+ended, by the task that puts the few chunk descriptions of a file together. The second step reads the chunks so found, spread over all tasks, and decodes their frames. Only
+chunk descriptions travel between the steps.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from __future__ import annotations
 import socket
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -20,6 +25,10 @@ from wiretide.operators.chain import materialize
 from wiretide.schema import FLAGS
 
 CHUNK_BYTES = 32 << 20
+#: Chunks that one task walks.
+SEGMENT_CHUNKS = 4
+#: Headers that must follow each other for a border to be believed, bytes searched at once, and the longest record looked for.
+_CHAIN, _SEARCHED, _LONGEST = 8, 1 << 20, 1 << 24
 _FRAMES_PER_BATCH = 8_192
 _FRAME_BITS = 36
 
@@ -72,70 +81,163 @@ def _resolution(options: bytes, order: str) -> int:
     return 1_000_000
 
 
-def _chunks_of(path: str, chunk_bytes: int) -> Iterator[tuple]:
-    """Chunk rows of one capture; an unreadable file gives one empty row."""
+@dataclass
+class _Head:
+    """What a file says of itself. ``start`` is the first record border, ``seconds`` the time of the first record."""
+
+    kind: str = "unknown"
+    order: str = "<"
+    ticks: int = 0
+    linktype: int = -1
+    start: int = 0
+    seconds: int = 0
+
+
+def _head(walk: _Walk) -> _Head:
+    magic = walk.peek(4)
+    if len(magic) < 4:
+        return _Head()
+    for order in ("<", ">"):
+        ticks = _MAGIC.get(struct.unpack(order + "I", magic)[0])
+        if ticks and walk.size >= 24:
+            first = walk.peek(28)
+            seconds = struct.unpack(order + "I", first[24:28])[0] if len(first) == 28 else 0
+            return _Head("pcap", order, ticks, struct.unpack(order + "I", first[20:24])[0] & 0xFFFF, 24, seconds)
+    if struct.unpack("<I", magic)[0] != _SECTION:
+        return _Head()
+    head = _Head("pcapng", "<" if walk.peek(12)[8:12] == b"\x4d\x3c\x2b\x1a" else ">", 1_000_000)
+    while True:  # the interface comes before its packets
+        block, size = _record(walk, head)
+        if not size or block in (_PACKET, _OLD_PACKET):
+            break
+        if block == _INTERFACE:
+            body = walk.peek(size)
+            head.linktype, head.ticks = struct.unpack(head.order + "H", body[8:10])[0], _resolution(body[16:size - 4], head.order)
+            break
+        walk.at += size
+    walk.at = 0
+    return head
+
+
+def _record(walk: _Walk, head: _Head) -> tuple[int, int]:
+    """Kind and size of the record at the walk's place; size 0 where the file ends or is cut short."""
+    data = walk.peek(16)
+    if head.kind == "pcap":
+        return (_PACKET, 16 + struct.unpack(head.order + "I", data[8:12])[0]) if len(data) == 16 else (0, 0)
+    block, size = struct.unpack(head.order + "II", data[:8]) if len(data) >= 12 else (0, 0)
+    return (0, 0) if size < 12 or walk.at + size > walk.size else (block, size)
+
+
+def _plausible(data: bytes, head: _Head) -> np.ndarray:
+    """Places in ``data`` at which a record might begin."""
+    step = 1 if head.kind == "pcap" else 4  # blocks are aligned
+    count = max(0, len(data) - 16 + step) // step
+
+    def number(at: int) -> np.ndarray:
+        return np.ndarray((count,), head.order + "u4", data, at, (step,)).astype(np.int64) if count else np.zeros(0, np.int64)
+    if head.kind == "pcap":
+        good = ((number(4) < head.ticks) & (number(8) <= number(12)) & (number(8) <= _LONGEST) & (abs(number(0) - head.seconds) < 10 * 365 * 86_400))
+    else:
+        block, size = number(0), number(4)
+        good = ((block > 0) & (block <= 10) | (block == _SECTION)) & (size >= 12) & (size % 4 == 0) & (size <= _LONGEST)
+    return np.flatnonzero(good) * step
+
+
+def _is_border(walk: _Walk, head: _Head, at: int) -> bool:
+    """Whether plausible records follow each other from here, for a while or to the end of the file."""
+    for _ in range(_CHAIN):
+        walk.at = at
+        if at == walk.size:
+            return True
+        _, size = _record(walk, head)
+        if not size or at + size > walk.size or not len(_plausible(walk.peek(16), head)):
+            return False
+        if head.kind == "pcapng":
+            walk.at = at + size - 4
+            if struct.unpack(head.order + "I", walk.peek(4))[0] != size:
+                return False
+        at += size
+    return True
+
+
+def _guess(walk: _Walk, head: _Head, low: int, high: int) -> int:
+    """A border in [low, high) by the look of what follows, -1 if none is found."""
+    low += -low % 4 if head.kind == "pcapng" else 0
+    for begin in range(low, high, _SEARCHED):
+        walk.at = begin
+        for at in _plausible(walk.peek(min(_SEARCHED, high - begin) + 15), head):
+            if begin + at < high and _is_border(walk, head, begin + int(at)):
+                return begin + int(at)
+    return -1
+
+
+def _walked(path: str, segment: int, begin: int, chunk_bytes: int, segment_bytes: int) -> Iterator[tuple]:
+    """Chunk rows of one segment: the records that begin in it, by the chunk that they begin in.
+
+    ``begin`` is the first border at or behind the segment's start, -1 if it has to be guessed. All rows tell from
+    where to where was walked; a segment without records gives a row of no bytes.
+    """
     with _open(path) as handle:
         walk = _Walk(handle)
-        magic = walk.peek(4)
-        order = kind = None
-        if len(magic) == 4:
-            for candidate in ("<", ">"):
-                number = struct.unpack(candidate + "I", magic)[0]
-                if number in _MAGIC:
-                    order, kind, ticks = candidate, "pcap", _MAGIC[number]
-            if struct.unpack("<I", magic)[0] == _SECTION:
-                kind = "pcapng"
-                order = "<" if walk.peek(12)[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
-        if kind is None or (kind == "pcap" and walk.size < 24):
-            yield path, "unknown", False, 0, -1, 0, 0, 1, False
-            return
-        linktype = -1
-        if kind == "pcap":
-            linktype = struct.unpack(order + "I", walk.peek(24)[20:24])[0] & 0xFFFF
-            walk.at = 24
-        else:
-            ticks = 1_000_000
-        start, first, frames, cut = walk.at, 1, 0, False
-        while walk.at < walk.size:
-            if kind == "pcap":
-                head = walk.peek(16)
-                size, is_frame = (16 + struct.unpack(order + "I", head[8:12])[0], True) if len(head) == 16 else (0, False)
-                if not size:
-                    cut = True
-                    break
-            else:
-                head = walk.peek(16)
-                block, size = struct.unpack(order + "II", head[:8]) if len(head) >= 12 else (0, 0)
-                if size < 12 or walk.at + size > walk.size:
-                    cut = True
-                    break
-                is_frame = block in (_PACKET, _OLD_PACKET)
-                if block == _INTERFACE and linktype < 0:
-                    body = walk.peek(size)
-                    linktype, ticks = struct.unpack(order + "H", body[8:10])[0], _resolution(body[16:size - 4], order)
+        head = _head(walk)
+        low, high = segment * segment_bytes, min(walk.size, (segment + 1) * segment_bytes)
+        if segment == 0:
+            begin = head.start
+        elif begin < 0 and head.kind != "unknown":
+            begin = _guess(walk, head, low, high)
+        fixed = path, head.kind, head.order == ">", head.ticks, head.linktype
+        walk.at, rows, cut = begin, [], False
+        while head.kind != "unknown" and 0 <= walk.at < high:
+            block, size = _record(walk, head)
+            if not size:
+                cut = True
+                break
             # A frame whose data is cut is kept as far as it goes
-            walk.at = min(walk.size, walk.at + size)
-            frames += is_frame
-            if walk.at - start >= chunk_bytes:
-                yield path, kind, order == ">", ticks, linktype, start, walk.at - start, first, False
-                start, first, frames = walk.at, first + frames, 0
-        yield path, kind, order == ">", ticks, linktype, start, walk.at - start, first, cut
+            number, at, walk.at = walk.at // chunk_bytes, walk.at, min(walk.size, walk.at + size)
+            if not rows or rows[-1][0] != number:
+                rows.append([number, at, 0, 0])
+            rows[-1][2] += walk.at - at
+            rows[-1][3] += block in (_PACKET, _OLD_PACKET)
+        for _, offset, length, frames in rows or [(0, max(begin, 0), 0, 0)]:
+            yield *fixed, offset, length, frames, cut, segment, begin, walk.at if begin >= 0 else -1
 
 
-def chunk_index(spark: SparkSession, folder: str, pattern: str = "*.pcap*", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of all captures in a folder. Only file names are listed by Spark; contents are not read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-             .select("path"))
+_SEGMENT_SCHEMA = CHUNK_SCHEMA.replace("first_frame", "frames") + ", segment long, seg_begin long, seg_end long"
+
+
+def chunk_index(spark: SparkSession, folder: str, pattern: str = "*.pcap*", chunk_bytes: int = CHUNK_BYTES, segment_chunks: int = SEGMENT_CHUNKS) -> DataFrame:
+    """Chunks of all captures in a folder. Only file names are listed by Spark; contents are not read.
+
+    The rows do not depend on ``segment_chunks``: a chunk holds the records that begin in its range of the file.
+    """
+    segment_bytes = chunk_bytes * segment_chunks
+    names = [part.split()[0] for part in _SEGMENT_SCHEMA.split(", ")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [part.split()[0] for part in CHUNK_SCHEMA.split(", ")]
         for batch in batches:
-            for path in batch["path"]:
-                rows = list(_chunks_of(path, chunk_bytes))
-                yield pd.DataFrame(rows, columns=columns)
-
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    return files.repartition(tasks, "path").mapInPandas(walk, CHUNK_SCHEMA)
+            for row in batch.itertuples():
+                yield pd.DataFrame(list(_walked(row.path, row.segment, row.begin, chunk_bytes, segment_bytes)), columns=names)
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        """The chunks of one file; a segment that did not begin where the one before ended is walked again from there."""
+        path, end, frames, out = frame["path"].iloc[0], 0, 0, []
+        for number, rows in frame.sort_values(["segment", "offset"]).groupby("segment"):
+            if number and rows["seg_begin"].iloc[0] != end:
+                rows = pd.DataFrame(list(_walked(path, int(number), end, chunk_bytes, segment_bytes)), columns=names)
+            end = int(rows["seg_end"].iloc[0])
+            rows = rows.assign(first_frame=frames + rows["frames"].cumsum() - rows["frames"] + 1)
+            frames += int(rows["frames"].sum())
+            out.append(rows[(rows["length"] > 0) | (rows["segment"] == 0)])
+            if rows["cut_short"].iloc[0]:
+                out[-1] = rows
+                break
+        return pd.concat(out)[columns]
+
+    columns = [part.split()[0] for part in CHUNK_SCHEMA.split(", ")]
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+             .select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(length - 1, 0) div {segment_bytes}"))).alias("segment")))
+    segments = files.withColumn("begin", F.lit(-1).cast("long")).repartition(F.xxhash64("path", "segment")).mapInPandas(walk, _SEGMENT_SCHEMA)
+    return segments.groupBy("path").applyInPandas(settle, CHUNK_SCHEMA)
 
 
 # ---- step 2: frames -----------------------------------------------------------------------------
