@@ -41,7 +41,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bucket. Without trusted documents all ratios are 0.
     """
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality")).filter("_quality = 1").select("doc_id", F.lit(1).alias("_trusted"))
-    grams = _with_buckets(docs.select("doc_id", "text").join(trusted, "doc_id", "left"), "_trusted").select("_trusted", F.explode("_buckets").alias("bucket"))
+    # Labels have no proven size bound, so they are not broadcast at any size
+    grams = _with_buckets(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left"), "_trusted").select("_trusted", F.explode("_buckets").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("_trusted").alias("t"))
     # As many entries as buckets at most
     model = held(counts.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("n", "t")))).alias("by_bucket"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"),
