@@ -53,26 +53,39 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return each.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", ratio.alias("ratio")))), lambda x: x["ratio"]).alias("ratios"))
 
 
+def _neighbours(name: str, alike) -> Column:
+    """The entries of a sorted array that are like the one before or after."""
+    last, none = F.size(name) - 1, F.lit(False)
+    return F.filter(name, lambda x, k: F.when(k > 0, alike(F.col(name)[k - 1], x)).otherwise(none)
+                    | F.when(k < last, alike(F.col(name)[k + 1], x)).otherwise(none))
+
+
 def base_rules(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text has no words."""
     columns = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     rows = held(docs.select(*columns, F.filter(F.split(text, _GAP), lambda w: w != "").alias("_words"), lines.alias("_lines")), *columns, "_words", "_lines")
-    # Windows by hash and place: equal ones become neighbours
-    windows = F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))),
-                          lambda w, i: F.struct(F.xxhash64(w, F.col("_words")[i + 1], F.col("_words")[i + 2]).alias("h"), i.alias("i")))
-    rows = held(rows.withColumns({"_n": F.size("_words"), "_dup": F.size("_lines") - F.size(F.array_distinct("_lines")), "_windows": F.sort_array(windows)}),
-                *columns, "_n", "_dup", "_windows")
-    last = F.size("_windows") - 1
-    twice = F.filter("_windows", lambda w, k: (F.when(k > 0, F.col("_windows")[k - 1]["h"] == w["h"]).otherwise(F.lit(False)))
-                     | (F.when(k < last, F.col("_windows")[k + 1]["h"] == w["h"]).otherwise(F.lit(False))))
+    window = lambda w, i: F.xxhash64(w, F.col("_words")[i + 1], F.col("_words")[i + 2])
+    # A window as one number: the upper bits of its hash, then its place in as many bits as the text needs. Sorted, windows
+    # that may be equal are neighbours; those few are sorted once more by the whole hash
+    starts = F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0)))
+    mask = F.expr("shiftleft(cast(1 as bigint), length(bin(size(_words)))) - 1")
+    rows = held(rows.withColumns({"_n": F.size("_words"), "_dup": F.size("_lines") - F.size(F.array_distinct("_lines")), "_mask": mask, "_starts": starts}),
+                *columns, "_words", "_n", "_dup", "_mask", "_starts")
+    packed = F.transform("_starts", lambda w, i: window(w, i).bitwiseAND(F.bitwise_not("_mask")).bitwiseOR(i.cast("long")))
+    rows = held(rows.withColumn("_packed", F.sort_array(packed)), *columns, "_words", "_n", "_dup", "_mask", "_packed")
+    places = F.transform(_neighbours("_packed", lambda a, b: a.bitwiseXOR(b).bitwiseAND(F.bitwise_not("_mask")) == 0),
+                         lambda x: x.bitwiseAND(F.col("_mask")).cast("int"))
+    rows = held(rows.withColumn("_places", places), *columns, "_words", "_n", "_dup", "_places")
+    exact = F.sort_array(F.transform("_places", lambda i: F.struct(window(F.col("_words")[i], i).alias("h"), i.alias("i"))))
+    rows = held(rows.withColumns({"_exact": exact, "_chars": F.length(F.array_join("_words", ""))}), *columns, "_n", "_chars", "_dup", "_exact")
+    twice = _neighbours("_exact", lambda a, b: a["h"] == b["h"])
     repeated = F.aggregate(F.sort_array(F.transform(twice, lambda w: w["i"])), F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
                            lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
-    rows = held(rows.withColumn("_repeated", repeated), *columns, "_n", "_dup", "_repeated")
-    without = lambda signs: F.length(text) - F.length(F.translate(text, signs, ""))
-    return (rows.select(*columns, F.col("_n").cast("long").alias("n_words"), (F.length(text) - without(" \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-                        without("#*$%&|<>").cast("long").alias("n_symbols"), F.col("_dup").cast("long").alias("n_dup_lines"),
+    rows = held(rows.withColumn("_repeated", repeated), *columns, "_n", "_chars", "_dup", "_repeated")
+    return (rows.select(*columns, F.col("_n").cast("long").alias("n_words"), F.col("_chars").cast("long").alias("word_chars"),
+                        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), F.col("_dup").cast("long").alias("n_dup_lines"),
                         F.col("_repeated").cast("long").alias("n_repeat_words"))
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))))
 
