@@ -2,6 +2,7 @@ import numpy as np
 import random
 
 import pytest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from wiretide.config import DetectionConfig
 from wiretide.models import evaluation as ev
 from wiretide.models import forest
 from wiretide.operators.detectors import BEACON, EXFIL, FLOOD, SCAN
+from wiretide.operators.flows import flows
+from wiretide.operators.windows import fan_in, pane_counts
 from wiretide.plans import detection
 
 S = 1_000_000
@@ -72,6 +75,35 @@ def test_persistence_and_layout_guard(spark, model, tmp_path):
     model.thresholds["flow"] = 0.85
 
 
+def test_other_classifiers_are_stored_loaded_explained_and_run(spark, make_packets, tmp_path):
+    """A boosted model with two classes for flows, a logistic one for hosts."""
+    def indexed(kind, classes, rows):
+        return rows.withColumn("label_index", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1).cast("double"))
+    two = (forest.BENIGN, BEACON)
+    flow = GBTClassifier(labelCol="label_index", maxIter=4, maxDepth=3, seed=1).fit(indexed("flow", two, vectors(spark, "flow", two)))
+    host = LogisticRegression(labelCol="label_index", regParam=0.01).fit(indexed("host", forest.CLASSES["host"], vectors(spark, "host", forest.CLASSES["host"])))
+    model = forest.ThreatModel(flow, host, {"flow": 0.0, "host": 0.0}, {"flow": two, "host": forest.CLASSES["host"]}, {"flow": [5.5] + [0.5] * 34, "host": []})
+    forest.save(model, str(tmp_path / "m"))
+    loaded = forest.load(str(tmp_path / "m"))
+    assert type(loaded.flow) is type(flow) and type(loaded.host) is type(host) and (loaded.classes, loaded.baseline) == (model.classes, model.baseline)
+    for kind, cls in (("flow", BEACON), ("host", FLOOD)):
+        rows = vectors(spark, kind, (cls,), 4, 9).withColumn("explain_class", F.lit(cls))
+        got = forest.with_explanation(rows, loaded.of(kind), kind, loaded.classes[kind], name="f", baseline=loaded.baseline[kind]).collect()
+        names = list(forest.LAYOUT[kind].values())  # entry i is high for class i, so a benign row has a high entry 0
+        assert all(r.f and r.f[0].feature in names[:2] and r.f[0].contribution > 0.1 for r in got)
+    alerts = {r.threat_class: r for r in detection.run(attack_packets(make_packets), DetectionConfig(), loaded).collect() if '"Rules' in r.evidence}
+    assert {BEACON, EXFIL, SCAN, FLOOD} <= set(alerts) and all('"model_factors":[' in alerts[c].evidence for c in (BEACON, FLOOD, SCAN))
+
+
+def test_run_statistics(spark, make_packets):
+    packets = attack_packets(make_packets)
+    alerts, seen = detection.run_with_statistics(packets)
+    assert (seen.total_packets, seen.total_alerts) == (packets.count(), alerts.count()) and seen.total_bytes == packets.agg(F.sum("packet_length")).first()[0]
+    assert seen.total_flows == flows(packets).count() and seen.total_windows == fan_in(pane_counts(packets)).select("window_start_us").distinct().count()
+    row = seen.frame(spark).first()
+    assert row.packets_per_second > 0 and row.mean_flow_ms > 0 and row.mean_window_ms > 0 and not row.with_model
+
+
 def test_importance(model):
     rows = forest.feature_importance(model, "flow").collect()
     assert len(rows) == 35 and [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)

@@ -6,8 +6,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wiretide.operators.chain import materialize
@@ -25,12 +27,17 @@ DEFAULT_THRESHOLD = 0.85
 
 @dataclass
 class ThreatModel:
-    """Any Spark classification models with a ``probability`` column will do."""
+    """Any fitted Spark models with a ``probability`` column will do.
 
-    flow: RandomForestClassificationModel
-    host: RandomForestClassificationModel
+    ``baseline`` is what a vector entry is taken to be when it says nothing; explanations of models other than forests
+    compare with it. Entries that it does not have are 0.
+    """
+
+    flow: Model
+    host: Model
     thresholds: dict[str, float] = field(default_factory=lambda: {"flow": DEFAULT_THRESHOLD, "host": DEFAULT_THRESHOLD})
     classes: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(CLASSES))
+    baseline: dict[str, list[float]] = field(default_factory=lambda: {"flow": [], "host": []})
 
     def of(self, kind: str):
         return self.flow if kind == "flow" else self.host
@@ -76,12 +83,15 @@ def predict(rows: DataFrame, model, classes: tuple[str, ...]) -> DataFrame:
             .drop("_p", "probability", "rawPrediction", "prediction"))
 
 
+_META = "kind string, threshold double, classes array<string>, baseline array<double>"
+
+
 def save(model: ThreatModel, path: str) -> None:
     for kind in ("flow", "host"):
         model.of(kind).write().overwrite().save(f"{path}/{kind}")
     spark = SparkSession.active()
-    meta = [(kind, float(model.thresholds[kind]), list(model.classes[kind])) for kind in ("flow", "host")]
-    (spark.createDataFrame(meta, "kind string, threshold double, classes array<string>").coalesce(1)
+    meta = [(kind, float(model.thresholds[kind]), list(model.classes[kind]), [float(v) for v in model.baseline[kind]]) for kind in ("flow", "host")]
+    (spark.createDataFrame(meta, _META).coalesce(1)
      .write.mode("overwrite").json(f"{path}/meta"))
 
 
@@ -94,13 +104,14 @@ def load(path: str) -> ThreatModel | None:
     meta_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
     if not meta_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta_path):
         return None
-    parts = {kind: RandomForestClassificationModel.load(f"{path}/{kind}") for kind in ("flow", "host")}
-    meta = spark.read.schema("kind string, threshold double, classes array<string>").json(f"{path}/meta")
-    rows = {row["kind"]: row for row in meta.collect()}
-    if any(parts[kind].numFeatures != len(LAYOUT[kind]) for kind in parts):
+    # The stored metadata names the class
+    parts = {kind: DefaultParamsReader.loadParamsInstance(f"{path}/{kind}", spark) for kind in ("flow", "host")}
+    rows = {row["kind"]: row for row in spark.read.schema(_META).json(f"{path}/meta").collect()}
+    # A pipeline does not say how wide its input is
+    if any(getattr(parts[kind], "numFeatures", len(LAYOUT[kind])) != len(LAYOUT[kind]) for kind in parts):
         return None
     return ThreatModel(parts["flow"], parts["host"], {kind: rows[kind]["threshold"] for kind in parts},
-                       {kind: tuple(rows[kind]["classes"]) for kind in parts})
+                       {kind: tuple(rows[kind]["classes"]) for kind in parts}, {kind: list(rows[kind]["baseline"] or []) for kind in parts})
 
 
 def feature_importance(model: ThreatModel, kind: str) -> DataFrame:
@@ -149,25 +160,47 @@ def _leaf_rows(tree: pd.DataFrame) -> pd.DataFrame:
     return keys.assign(tree=int(tree["tree"].iloc[0]), gains=sums.to_numpy().tolist())[["tree", "leaf", "feature", "gains"]]
 
 
+def leaf_credits(asked: DataFrame, model) -> DataFrame:
+    """What the leaves that a row reaches say for its class, averaged over the trees of a forest."""
+    named = model.copy().setLeafCol("_leaves").transform(asked)
+    reached = (named.select("_row", "_class", vector_to_array("features").alias("_x"), F.posexplode(vector_to_array("_leaves")).alias("tree", "_leaf"))
+               .withColumn("leaf", F.col("_leaf").cast("int")))
+    gain = F.coalesce(F.get("gains", F.col("_class").cast("int") - 1), F.lit(0.0))
+    return (reached.join(leaf_table(asked.sparkSession, model), ["tree", "leaf"])
+            .groupBy("_row", "feature").agg((F.sum(gain) / F.lit(model.getNumTrees)).alias("credit"), F.first("_x").alias("_x")))
+
+
+def ablation_credits(asked: DataFrame, model, baseline: list[float], width: int) -> DataFrame:
+    """For any model: how much of the probability of its class a row loses when one entry is put back to the baseline."""
+    usual = F.array(*[F.lit(float(v)) for v in (list(baseline) + [0.0] * width)[:width]])
+    share = F.coalesce(F.get(vector_to_array("probability"), F.col("_class").cast("int") - 1), F.lit(0.0))
+    whole = model.transform(asked).select("_row", "_class", "features", share.alias("_whole"))
+    x = vector_to_array("features")
+    # One row per entry that differs from the baseline, all of them scored in one pass
+    without = (whole.select("_row", "_class", "_whole", x.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("feature"))
+               .filter(F.get("_x", F.col("feature")) != F.get(usual, F.col("feature")))
+               .withColumn("features", array_to_vector(F.transform("_x", lambda v, i: F.when(i == F.col("feature"), F.get(usual, i)).otherwise(v)))))
+    return model.transform(without).select("_row", "feature", (F.col("_whole") - share).alias("credit"), "_x")
+
+
 def with_explanation(rows: DataFrame, model, kind: str, classes: tuple[str, ...], target: str = "explain_class", top: int = 3,
-                     name: str = "factors") -> DataFrame:
+                     name: str = "factors", baseline: list[float] | None = None) -> DataFrame:
     """Adds the strongest positive factors of the class in ``target`` for the vector in ``features``.
 
-    Null where no class is asked for or it is unknown. The model names the leaf that a row reaches in
-    every tree; what the leaves say is joined to it and averaged over the trees.
+    Null where no class is asked for or it is unknown. A forest is explained by its leaves, any other model that
+    reads the vector by putting one entry at a time back to the ``baseline``; one that reads other columns has no factors.
     """
     spark, labels = rows.sparkSession, list(LAYOUT[kind].values())
     # Rows are few next to what they were computed from, and need an identity that a second read keeps
     held = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
     wanted = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target))
     asked = held.select("_row", "features", wanted.alias("_class")).filter("_class > 0 and features is not null")
-    named = model.copy().setLeafCol("_leaves").transform(asked)
-    reached = (named.select("_row", "_class", vector_to_array("features").alias("_x"), F.posexplode(vector_to_array("_leaves")).alias("tree", "_leaf"))
-               .withColumn("leaf", F.col("_leaf").cast("int")))
-    gain = F.coalesce(F.get("gains", F.col("_class").cast("int") - 1), F.lit(0.0))
-    credit = (reached.join(leaf_table(spark, model), ["tree", "leaf"])
-              .groupBy("_row", "feature").agg((F.sum(gain) / F.lit(model.getNumTrees)).alias("credit"), F.first("_x").alias("_x"))
-              .filter("credit > 0"))
+    if isinstance(model, RandomForestClassificationModel):
+        credit = leaf_credits(asked, model).filter("credit > 0")
+    elif model.hasParam("featuresCol"):
+        credit = ablation_credits(asked, model, baseline or [], len(labels)).filter("credit > 0")
+    else:
+        credit = spark.createDataFrame([], "_row long, feature int, credit double, _x array<double>")
     value = F.round(F.get("_x", F.col("feature")), 3)
     factor = F.struct((-F.col("credit")).alias("order"), "feature", value.alias("value"))
     texts = F.array(*[F.lit(x) for x in labels])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from wiretide.config import DetectionConfig
 from wiretide.models.forest import BENIGN, ThreatModel, predict, with_explanation
@@ -27,6 +30,38 @@ def _together(spark: SparkSession, *jobs: Callable[[], DataFrame]) -> list[DataF
         return [future.result() for future in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
+@dataclass
+class RunStatistics:
+    """Totals of one run, observed while its results were written, and the seconds its parts took."""
+
+    total_packets: int = 0
+    total_bytes: int = 0
+    total_flows: int = 0
+    total_windows: int = 0
+    total_alerts: int = 0
+    seconds: float = 0.0
+    flow_seconds: float = 0.0
+    window_seconds: float = 0.0
+    model: bool = False
+
+    def written(self, df: DataFrame, **metrics: Column) -> DataFrame:
+        """The rows, written once; what they sum up to goes to the fields named."""
+        seen = Observation(f"run-{uuid.uuid4().hex}")
+        out = materialize(df.observe(seen, *[value.alias(name) for name, value in metrics.items()]))
+        for name, value in seen.get.items():
+            setattr(self, name, value or 0)
+        return out
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """One row with totals, rates and mean latencies."""
+        elapsed = max(0.001, self.seconds)
+        row = (self.total_packets, self.total_bytes, self.total_flows, self.total_windows, self.total_alerts, round(self.total_packets / elapsed, 2),
+               round(self.total_flows / elapsed, 2), round(1000 * self.flow_seconds / max(1, self.total_flows), 3),
+               round(1000 * self.window_seconds / max(1, self.total_windows), 3), self.model)
+        return spark.createDataFrame([row], "total_packets long, total_bytes long, total_flows long, total_windows long, total_alerts long, packets_per_second double, "
+                                            "flows_per_second double, mean_flow_ms double, mean_window_ms double, with_model boolean")
+
+
 def host_predictions(targets: DataFrame, sources: DataFrame, model: ThreatModel) -> DataFrame:
     """Model opinion on the candidate hosts of each window."""
     vectors = with_host_vector(candidate_hosts(hosts(targets, sources)))
@@ -50,23 +85,32 @@ def with_opinions(targets: DataFrame, sources: DataFrame, opinions: DataFrame) -
 
 
 def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None,
-               detectors: list[Detector] | None = None) -> DataFrame:
+               detectors: list[Detector] | None = None, statistics: RunStatistics | None = None) -> DataFrame:
     """All rule and model detections, before the cooldown.
 
     Packets are read by two aggregations only: the flow table and the pane table, which is written
     once. Windows are scored from panes, and details are computed for the reported windows only.
+    ``statistics`` are filled in on the way, without another read of the packets.
     """
+    statistics = statistics or RunStatistics()
     rules = built_in(cfg) if detectors is None else detectors
     spark, with_model = packets.sparkSession, model is not None
     thresholds = model.thresholds if with_model else {"flow": 0.0, "host": 0.0}
 
     def flow_job() -> DataFrame:
-        features = flow_features(flows(packets, cfg.flow, splt=False))
+        begin, features = time.perf_counter(), flow_features(flows(packets, cfg.flow, splt=False))
+        seen = Observation(f"flows-{uuid.uuid4().hex}")
+        features = features.observe(seen, F.count(F.lit(1)).alias("n"))
         if with_model:
             features = predict(with_flow_vector(features), model.flow, model.classes["flow"])
-        return materialize(flow_detections(features, rules, with_model, thresholds["flow"]).withColumn("kind", F.lit("flow")))
-
-    flow_part, panes = _together(spark, flow_job, lambda: materialize(pane_counts(packets, cfg.window)))
+        found = materialize(flow_detections(features, rules, with_model, thresholds["flow"]).withColumn("kind", F.lit("flow")))
+        statistics.total_flows, statistics.flow_seconds = seen.get["n"], time.perf_counter() - begin
+        return found
+
+    flow_part, panes = _together(spark, flow_job, lambda: statistics.written(
+        pane_counts(packets, cfg.window), total_packets=F.sum("packets"), total_bytes=F.sum("bytes")))
+    begin = time.perf_counter()
+    statistics.total_windows = window_rows(panes, cfg.window).select("window_start_us").distinct().count()
     rows = window_rows(panes, cfg.window)
     pairs = probe_pairs(rows)
     targets, sources = target_totals(target_facets(rows, cfg.window), cfg.window), source_totals(pairs, cfg.window)
@@ -80,6 +124,7 @@ def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), mod
     host_part = (target_detections(with_top_sources(hit_targets, panes, cfg.window), rules, with_model, thresholds["host"])
                  .unionByName(source_detections(with_probed_ports(hit_sources, pairs), rules, with_model, thresholds["host"]))
                  .withColumn("kind", F.lit("host")))
+    statistics.window_seconds, statistics.model = time.perf_counter() - begin, with_model
     return flow_part.unionByName(host_part)
 
 
@@ -88,7 +133,7 @@ def with_factors(alerts: DataFrame, model: ThreatModel) -> DataFrame:
     asked = F.col("explain_class").isNotNull()
     out = alerts.filter(~asked)
     for kind in ("flow", "host"):
-        rows = (with_explanation(alerts.filter(asked & (F.col("kind") == kind)), model.of(kind), kind, model.classes[kind], name="_f")
+        rows = (with_explanation(alerts.filter(asked & (F.col("kind") == kind)), model.of(kind), kind, model.classes[kind], name="_f", baseline=model.baseline[kind])
                 .withColumn("_f", F.to_json(F.transform("_f", lambda f: f["text"]))))
         body = F.expr("substring(evidence, 1, length(evidence) - 1)")
         out = out.unionByName(rows.withColumn("evidence", F.concat(
@@ -97,17 +142,18 @@ def with_factors(alerts: DataFrame, model: ThreatModel) -> DataFrame:
 
 
 def run(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None,
-        detectors: list[Detector] | None = None, after_id: int = 0) -> DataFrame:
+        detectors: list[Detector] | None = None, after_id: int = 0, statistics: RunStatistics | None = None) -> DataFrame:
     """Published alerts with ids. Without a model only the rules speak."""
-    published = suppress_repeats(to_alerts(detections(packets, cfg, model, detectors)), cfg.cooldown)
+    published = suppress_repeats(to_alerts(detections(packets, cfg, model, detectors, statistics)), cfg.cooldown)
     if model is not None:
         published = with_factors(materialize(published), model)
     return with_ids(published.drop("dedup_key", "order_us", "kind", "features", "explain_class"), after_id)
 
 
-def statistics(packets: DataFrame, flow_rows: DataFrame, windows: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Totals of one run."""
-    return packets.agg(F.count("*").alias("total_packets")).withColumns({
-        "total_flows": flow_rows.agg(F.count("*")).scalar(),
-        "total_windows": windows.agg(F.count_distinct("window_start_us")).scalar(),
-        "total_alerts": alerts.agg(F.count("*")).scalar()})
+def run_with_statistics(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None,
+                        detectors: list[Detector] | None = None) -> tuple[DataFrame, RunStatistics]:
+    """Published alerts, written, and the statistics of the run."""
+    begin, statistics = time.perf_counter(), RunStatistics()
+    alerts = statistics.written(run(packets, cfg, model, detectors, statistics=statistics), total_alerts=F.count(F.lit(1)))
+    statistics.seconds = time.perf_counter() - begin
+    return alerts, statistics

@@ -54,10 +54,11 @@ rules as (
 al as (select threat_class, c confidence_score, {_SEVERITY.format(c='c')} severity, ts_us, flow_id, concat(key, '_', threat_class) dedup_key, seq from rules)"""
 
 
+FOUR_RULES = [beaconing(), exfiltration(), flood(LOW_FLOOD), port_scan(LOW_SCAN)]
+
+
 def _detections(spark, sf_dir):
-    cfg = DetectionConfig(flow=SHORT_ACTIVE)
-    rules = [beaconing(), exfiltration(), flood(LOW_FLOOD), port_scan(LOW_SCAN)]
-    return detection.detections(packets(spark, sf_dir), cfg, detectors=rules)
+    return detection.detections(packets(spark, sf_dir), DetectionConfig(flow=SHORT_ACTIVE), detectors=FOUR_RULES)
 
 
 @query("alert_union", _UNION_SQL + "select * exclude (seq) from al")
@@ -81,6 +82,16 @@ def detect_and_publish(spark, sf_dir):
     return out.select("dedup_key", _us().alias("ts_us"), "flow_id", "severity", "confidence_score")
 
 
+@query("run_statistics", _UNION_SQL + chain_sql("dedup_key", "al") + """
+select (select count(*) from v_packets) total_packets, (select sum(packet_length)::bigint from v_packets) total_bytes, (select count(*) from ff) total_flows,
+ (select count(distinct ws) from w) total_windows, (select count(*) from kept) total_alerts""")
+def run_statistics(spark, sf_dir):
+    """Totals of a whole run; rates and latencies, which no two runs share, are left out here."""
+    cfg = DetectionConfig(flow=SHORT_ACTIVE)
+    _, seen = detection.run_with_statistics(packets(spark, sf_dir), cfg, None, FOUR_RULES)
+    return seen.frame(spark).select("total_packets", "total_bytes", "total_flows", "total_windows", "total_alerts")
+
+
 @query("alert_severity", ALERTS + f"select id, severity, {_SEVERITY.format(c='confidence_score - 0.05')} lowered from v_alerts")
 def alert_severity(spark, sf_dir):
     return alerts(spark, sf_dir).select("id", ops.severity(F.col("confidence_score")).alias("severity"),

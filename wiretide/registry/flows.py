@@ -153,11 +153,3 @@ select pkt_id, protocol from r where rn <= 100""")
 def packet_cap(spark, sf_dir):
     from wiretide.sources.packets import capped
     return capped(packets(spark, sf_dir), 100, ["protocol"]).select("pkt_id", "protocol")
-
-
-@query("run_statistics", flow_ctes(30_000_000) + """
-select (select count(*) from v_packets) total_packets, (select count(*) from ff) total_flows, (select sum(packet_length)::bigint from v_packets) total_bytes""")
-def run_statistics(spark, sf_dir):
-    p = packets(spark, sf_dir)
-    total = flows(p, SHORT_ACTIVE, splt=False).agg(F.count("*")).scalar()
-    return p.agg(F.count("*").alias("total_packets"), F.sum("packet_length").alias("total_bytes")).withColumn("total_flows", total)

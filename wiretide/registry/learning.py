@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
 from wiretide.config import DetectionConfig
@@ -14,10 +16,11 @@ from wiretide.operators.features import fill_defaults, flow_features, with_flow_
 from wiretide.operators.detectors import beaconing, exfiltration
 from wiretide.operators.flows import flows
 from wiretide.operators.windows import candidate_hosts
-from wiretide.plans import analytics, detection
+from wiretide.plans import analytics, detection, training
 from wiretide.registry import query
+from wiretide.registry.alerts import FOUR_RULES, chain_sql
 from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, SHORT_ACTIVE, flow_ctes
-from wiretide.registry.windows import _CANDIDATE, _HOSTS, LOW_FLOOD, LOW_SCAN, host_rows, packets
+from wiretide.registry.windows import _CANDIDATE, _FLOOD_SQL, _HOSTS, _SCAN_SQL, BOTH, LOW_FLOOD, LOW_SCAN, host_rows, packets
 
 SCORES = ctes("v_scores")
 
@@ -184,6 +187,96 @@ def alerts_by_detection_source(spark, sf_dir):
     return analytics.by_detection_source(tagged, 5000, "10.0.1.3")
 
 
+# ---- from model to report, with a scorecard that SQL can state ----------------------------------
+
+_FLOW_CARD = {1: ("packet_count % 3 = 0", 0.9, 0.05), 4: ("packet_count % 3 = 1 and total_bytes > 2000", 0.88, 0.02)}
+_HOST_CARD = {1: ("in_packets % 4 = 0", 0.9, 0.04), 2: ("in_packets % 4 <> 0 and out_max_ports_on_one_host >= 3", 0.86, 0.03)}
+
+
+def _scorecard(rules, classes):
+    """A Spark ML model that gives each class of ``rules`` a probability by a condition, and the benign class the rest."""
+    shares = {i: f"case when {rules[i][0]} then {rules[i][1]}D else {rules[i][2]}D end" if i in rules else "0.0D" for i in range(1, len(classes))}
+    columns = [f"1.0D - ({' + '.join(shares.values())}) as _p0", *(f"{sql} as _p{i}" for i, sql in shares.items())]
+    return PipelineModel([SQLTransformer(statement=f"select *, {', '.join(columns)} from __THIS__"),
+                          VectorAssembler(inputCols=[f"_p{i}" for i in range(len(classes))], outputCol="probability")])
+
+
+def scorecards():
+    return forest.ThreatModel(_scorecard(_FLOW_CARD, forest.CLASSES["flow"]), _scorecard(_HOST_CARD, forest.CLASSES["host"]))
+
+
+def _label_sql(card, names):
+    return "case " + " ".join(f"when {card[i][0]} then '{names[i]}'" for i in card) + " else 'benign' end"
+
+
+def _conf(sql):
+    return sql.split("select *, ", 1)[1].rsplit(" conf from", 1)[0]
+
+
+_REPORT = (_HOST_LABELS + ",\nv_flow_labels as materialized" + ctes("v_flow_labels").split("v_flow_labels as materialized", 1)[1]
+           + _FLOW_LABELS[_FLOW_LABELS.index(",\npk as"):] + f""",
+cand as (select *, in_packets packets, in_peak_pps peak_pps, in_syn_only_ratio syn_only_ratio, in_udp_ratio udp_ratio, in_unique_sources unique_sources,
+ out_probe_ratio probe_ratio, out_max_ports_on_one_host max_ports_on_one_host, out_max_hosts_on_one_port max_hosts_on_one_port from lh where {_CANDIDATE}),
+said as (
+ select 'flow' kind, label, case when b >= 0.7 and b >= e then 'Botnet_C2_Beaconing' when e >= 0.7 then 'Data_Exfiltration' else 'benign' end rl, ml
+  from (select label, {BEACON_SQL} b, {EXFIL_SQL} e, {_label_sql(_FLOW_CARD, forest.CLASSES["flow"])} ml from lf)
+ union all select 'host', label, case when f >= 0.7::double then 'Volumetric_Protocol_DDoS' when s >= 0.7::double then 'Reconnaissance_Port_Scanning' else 'benign' end, ml
+  from (select label, {_conf(_FLOOD_SQL)} f, {_conf(_SCAN_SQL)} s, {_label_sql(_HOST_CARD, forest.CLASSES["host"])} ml from cand)),
+v as (select kind, label, 'rules' variant, rl said from said union all select kind, label, 'model', ml from said
+ union all select kind, label, 'hybrid', case when rl <> 'benign' then rl else ml end from said),
+known as (select * from (values """ + ", ".join(f"('{k}', '{c}')" for k in ("flow", "host") for c in forest.CLASSES[k]) + """) t(kind, cls), (values ('rules'), ('model'), ('hybrid')) u(variant)),
+tot as (select variant, kind, cls, count(*) filter (label = cls and said = cls) hit, count(*) filter (label = cls) support, count(*) filter (said = cls) claimed
+ from known left join v using (variant, kind) group by all)
+""")
+
+
+@query("holdout_report", _REPORT + """select variant, kind, cls, case when cls <> 'benign' then round(case when claimed > 0 then hit / claimed else 0 end, 4) end "precision",
+ case when cls <> 'benign' then round(case when support > 0 then hit / support else 0 end, 4) end recall,
+ case when cls <> 'benign' then round(case when support + claimed > 0 then 2 * hit / (support + claimed) else 0 end, 4) end f1, support,
+ case when cls = 'benign' then round((support - hit) / greatest(1, support), 5) end false_positive_rate from tot""")
+def holdout_report(spark, sf_dir):
+    cfg = DetectionConfig(flow=SHORT_ACTIVE, flood=LOW_FLOOD, scan=LOW_SCAN)
+    flow_rows = training.flow_training_rows(packets(spark, sf_dir), view(spark, sf_dir, "v_flow_labels"), cfg)
+    hosts = training.host_training_rows(packets(spark, sf_dir), view(spark, sf_dir, "v_host_labels"), cfg, 20, 2)
+    return training.holdout_report(scorecards(), flow_rows, hosts, cfg)
+
+
+_CARD_SQL = BOTH + _HOSTS[len(BOTH):] + _FLOOD_SQL + _SCAN_SQL + flow_ctes(30_000_000)[flow_ctes(30_000_000).index(",\npk as"):] + f""",
+op as (select window_start_us, host, {_label_sql(_HOST_CARD, forest.CLASSES["host"])} ml from hosts
+ where in_packets >= 50 or out_max_ports_on_one_host >= 5 or out_max_hosts_on_one_port >= 5),
+det as (
+ select 'Volumetric_Protocol_DDoS' cls, conf >= 0.7::double fired, ml, last_ts_us ts_us, format('{{}}:*->{{}}:{{}}_{{}}', first_source, dst_ip, top_dst_port, protocol) flow_id,
+   concat('*->', dst_ip) key, flood.window_start_us seq, first_source src, dst_ip dst from flood left join op on op.window_start_us = flood.window_start_us and host = dst_ip
+ union all select 'Reconnaissance_Port_Scanning', conf >= 0.7::double, ml, last_ts_us, format('{{}}:*->{{}}:{{}}_{{}}', src_ip, tgt,
+     case when max_ports_on_one_host >= max_hosts_on_one_port or horizontal_port = 0 then '*' else horizontal_port::varchar end, protocol),
+   concat(src_ip, '->', tgt), window_start_us, src_ip, tgt
+   from (select scan.*, ml, case when max_ports_on_one_host >= max_hosts_on_one_port then vertical_target else '*' end tgt
+         from scan left join op on op.window_start_us = scan.window_start_us and host = src_ip)
+ union all select c, conf >= 0.7, ml, last_us, flow_id, concat(src_ip, '->', dst_ip), flow_start_us, src_ip, dst_ip
+   from (select *, unnest(['Botnet_C2_Beaconing', 'Data_Exfiltration']) c, unnest([{BEACON_SQL}, {EXFIL_SQL}]) conf, {_label_sql(_FLOW_CARD, forest.CLASSES["flow"])} ml from ff)),
+alv as (select 'rules' variant, *, 'Rules' detected_by from det where fired
+ union all select 'hybrid', *, case when not fired then 'AI model' when ml = cls then 'Rules + AI model' else 'Rules' end from det where fired or coalesce(ml = cls, false)),
+al as (select *, concat(variant, key, '_', cls) dedup_key from alv)"""
+
+
+@query("capture_evaluation", _CARD_SQL + chain_sql("dedup_key", "al") + """,
+ranked as (select al.*, row_number() over (partition by dedup_key, ts_us order by flow_id, seq) rn from al),
+pub as (select * from ranked join kept on k = dedup_key and t = ts_us where rn = 1)
+select variant, cls threat_class, detected_by, count(*) n, count(*) filter (src = '10.0.1.3' or dst = '10.0.1.3') involving,
+ round(10000.0 * count(*) / (select count(*) from ff), 2) per_10k_flows, (select count(*) from v_packets) packets, (select count(*) from ff) flows,
+ sum(count(*)) over (partition by variant)::bigint alerts from pub group by variant, cls, detected_by""")
+def capture_evaluation(spark, sf_dir):
+    return training.capture_evaluation(packets(spark, sf_dir), scorecards(), DetectionConfig(flow=SHORT_ACTIVE), "10.0.1.3", FOUR_RULES)
+
+
+@query("ml_scorecard_scores", flow_ctes(30_000_000) + f"""
+select flow_id, flow_start_us, {_label_sql(_FLOW_CARD, forest.CLASSES["flow"])} ml_class,
+ case when packet_count % 3 = 0 then 0.9 when packet_count % 3 = 1 and total_bytes > 2000 then 0.88 when packet_count % 3 = 1 then 0.93 else 0.93 end::double ml_prob from ff""")
+def ml_scorecard_scores(spark, sf_dir):
+    rows = with_flow_vector(flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False)))
+    return forest.predict(rows, scorecards().flow, forest.CLASSES["flow"]).select("flow_id", "flow_start_us", "ml_class", F.round("ml_prob", 6).alias("ml_prob"))
+
+
 # ---- forests (not expressible in SQL) -----------------------------------------------------------
 
 def _flow_training(spark, sf_dir):
