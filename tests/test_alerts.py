@@ -59,6 +59,19 @@ def test_table_round_trip_and_retry(alert, spark, tmp_path):
     assert [r.id for r in rows] == [3, 2, 1] and [r.evidence for r in rows] == ['{"iat_variance":0.0}'] * 2 + ["{}"]
 
 
+def test_an_append_reads_no_stored_rows(alert, spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    alert_store.append_table(alert({}, {"ts": 90_000.0}), path, 0)
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir() and p.name != alert_store.ENTRIES) == ["day=2026-01-01", "day=2026-01-02"]
+    monkeypatch.setattr(alert_store, "try_read", None)  # the table itself is never read again
+    for batch, n in ((1, 3), (2, 0), (3, 1), (3, 1), (4, 2)):
+        alert_store.append_table(alert(*[{"ts": 1.0 * i} for i in range(n)]) if n else alert().limit(0), path, batch)
+    rows = alert_store.read_alerts(spark, path).collect()
+    assert sorted(r.id for r in rows) == list(range(1, 9))
+    entries = [tuple(map(int, p.name.split("."))) for p in (tmp_path / "t" / alert_store.ENTRIES).iterdir() if not p.name.startswith(".")]
+    assert (4, 7, 8) in entries and len(entries) <= 3
+
+
 def test_json_lines_and_csv(alert, spark, tmp_path):
     alert_store.append_json(alert({}, {"ts": 0.25}), str(tmp_path / "j"))
     rows = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "j")).collect()), key=lambda r: r["timestamp"])

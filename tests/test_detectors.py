@@ -3,9 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import client_hello
+from wiretide.functions.tls import with_client_hello
 from wiretide.operators.detection import flow_detections, opinion
-from wiretide.operators.detectors import BEACON, Detector, beaconing, built_in, dga, encrypted_malware, exfiltration, flood, port_scan, score
+from wiretide.operators.detectors import BEACON, MALWARE, Detector, beaconing, built_in, dga, encrypted_malware, exfiltration, flood, port_scan, score
 from wiretide.operators.features import fill_defaults
+from wiretide.plans import detection
 
 
 def rows(spark, **values):
@@ -113,3 +116,16 @@ def test_plug_in_detector(spark):
     big = Detector("Big_Flow", "flow", lambda: F.when(F.col("total_bytes") > 10, F.lit(0.75)).otherwise(F.lit(0.0)), lambda t: {"bytes": F.col("total_bytes")})
     out = flow_detections(rows(spark, **FLOW, total_bytes=11.0), [*built_in(), big]).collect()
     assert [(r.threat_class, r.evidence) for r in out] == [("Big_Flow", '{"bytes":11.0}')]
+
+
+def test_fingerprint_table_of_any_size(spark, make_packets):
+    """A table of 100,000 fingerprints instead of the fixed ones; the known one is that of an ordinary hello."""
+    hello = client_hello([0x1301, 0x1302, 0x1303, 0xC02B, 0xC02F, 0xC02C], "example.com", [29], [0], extra=(16, 23, 35))
+    rows = [{"t": i, "src_port": 5000 + i, "dst_port": 443, "raw_payload": hello if i else b"x"} for i in range(4)]
+    packets = make_packets(rows, raw=True)
+    digest = with_client_hello(packets, "raw_payload").filter("is_tls").first().ja3_hash
+    table = spark.range(100_000).select(F.md5(F.col("id").cast("string")).alias("ja3_hash"), F.lit("noise").alias("family"))
+    table = table.unionByName(spark.createDataFrame([(digest, "Known"), (digest, "Other")], table.schema))
+    assert detection.run(packets).filter(F.col("threat_class") == MALWARE).count() == 0
+    alert, = detection.run(packets, families=table).filter(F.col("threat_class") == MALWARE).collect()
+    assert '"matched_threat":"Known"' in alert.evidence and alert.confidence_score == 0.96

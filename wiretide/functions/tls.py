@@ -157,3 +157,13 @@ def with_family(df: DataFrame, families: DataFrame, ja3: str = "ja3_hash") -> Da
     """Left equi-join with a fingerprint table; a miss is ``Unknown``."""
     lookup = families.select(F.col("ja3_hash").alias(ja3), F.col("family").alias("matched_family"))
     return df.join(lookup, ja3, "left").fillna({"matched_family": "Unknown"})
+
+
+def with_known_family(df: DataFrame, families: DataFrame, ja3: str = "ja3_hash", name: str = "ja3_family") -> DataFrame:
+    """Adds the family of a fingerprint from a table of any size, null for a miss.
+
+    Rows without a fingerprint get keys of their own, so that they do not meet in one task.
+    """
+    known = families.groupBy(F.col("ja3_hash").alias("_ja3")).agg(F.min("family").alias(name))
+    key = F.when(F.length(ja3) > 0, F.col(ja3)).otherwise(F.concat(F.lit("-"), F.xxhash64("flow_id", "flow_start_us").cast("string")))
+    return df.drop(name).withColumn("_ja3", key).join(known, "_ja3", "left").drop("_ja3")

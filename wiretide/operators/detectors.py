@@ -150,11 +150,11 @@ def dga() -> Detector:
     return Detector(DGA, "flow", confidence, evidence)
 
 
-def encrypted_malware(families: dict[str, str] | None = None) -> Detector:
-    """Fingerprint families are a small fixed mapping; join ``functions.tls.with_family`` for a table."""
+def encrypted_malware(families: dict[str, str] | None = None, column: str | None = None) -> Detector:
+    """Fingerprint families are a small fixed mapping or, where a table of any size was joined, a ``column``."""
     known = JA3_BLOCKLIST if families is None else families
-    family = F.lit(None).cast("string")
-    for digest, name in known.items():
+    family = F.lit(None).cast("string") if column is None else F.col(column)
+    for digest, name in (known if column is None else {}).items():
         family = F.when(F.col("ja3_hash") == digest, F.lit(name)).otherwise(family)
     complete = F.col("tls_complete") > 0.5
     port, ciphers, extensions = F.col("dst_port"), F.col("cipher_count"), F.col("tls_extension_count")
@@ -218,8 +218,8 @@ def exfiltration() -> Detector:
     return Detector(EXFIL, "flow", confidence, evidence)
 
 
-def built_in(cfg: DetectionConfig = DetectionConfig()) -> list[Detector]:
-    return [beaconing(), dga(), encrypted_malware(), exfiltration(), flood(cfg.flood), port_scan(cfg.scan)]
+def built_in(cfg: DetectionConfig = DetectionConfig(), family_column: str | None = None) -> list[Detector]:
+    return [beaconing(), dga(), encrypted_malware(column=family_column), exfiltration(), flood(cfg.flood), port_scan(cfg.scan)]
 
 
 def score(rows: DataFrame, detector: Detector) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from wiretide.config import DetectionConfig
+from wiretide.functions.tls import with_known_family
 from wiretide.models.forest import BENIGN, ThreatModel, predict, with_explanation
 from wiretide.operators.alerts import suppress_repeats, to_alerts, with_ids
 from wiretide.operators.chain import materialize
@@ -85,21 +86,25 @@ def with_opinions(targets: DataFrame, sources: DataFrame, opinions: DataFrame) -
 
 
 def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None,
-               detectors: list[Detector] | None = None, statistics: RunStatistics | None = None) -> DataFrame:
+               detectors: list[Detector] | None = None, statistics: RunStatistics | None = None,
+               families: DataFrame | None = None) -> DataFrame:
     """All rule and model detections, before the cooldown.
 
     Packets are read by two aggregations only: the flow table and the pane table, which is written
     once. Windows are scored from panes, and details are computed for the reported windows only.
-    ``statistics`` are filled in on the way, without another read of the packets.
+    ``statistics`` are filled in on the way, without another read of the packets. ``families`` (ja3_hash,
+    family) replaces the fixed fingerprints of the TLS rule.
     """
     statistics = statistics or RunStatistics()
-    rules = built_in(cfg) if detectors is None else detectors
+    rules = built_in(cfg, None if families is None else "ja3_family") if detectors is None else detectors
     spark, with_model = packets.sparkSession, model is not None
     thresholds = model.thresholds if with_model else {"flow": 0.0, "host": 0.0}
 
     def flow_job() -> DataFrame:
         begin, features = time.perf_counter(), flow_features(flows(packets, cfg.flow, splt=False))
         seen = Observation(f"flows-{uuid.uuid4().hex}")
+        if families is not None:
+            features = with_known_family(features, families)
         features = features.observe(seen, F.count(F.lit(1)).alias("n"))
         if with_model:
             features = predict(with_flow_vector(features), model.flow, model.classes["flow"])
@@ -142,9 +147,10 @@ def with_factors(alerts: DataFrame, model: ThreatModel) -> DataFrame:
 
 
 def run(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), model: ThreatModel | None = None,
-        detectors: list[Detector] | None = None, after_id: int = 0, statistics: RunStatistics | None = None) -> DataFrame:
+        detectors: list[Detector] | None = None, after_id: int = 0, statistics: RunStatistics | None = None,
+        families: DataFrame | None = None) -> DataFrame:
     """Published alerts with ids. Without a model only the rules speak."""
-    published = suppress_repeats(to_alerts(detections(packets, cfg, model, detectors, statistics)), cfg.cooldown)
+    published = suppress_repeats(to_alerts(detections(packets, cfg, model, detectors, statistics, families)), cfg.cooldown)
     if model is not None:
         published = with_factors(materialize(published), model)
     return with_ids(published.drop("dedup_key", "order_us", "kind", "features", "explain_class"), after_id)
