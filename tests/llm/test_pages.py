@@ -23,6 +23,21 @@ def test_rules(page, want):
     assert pages.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<article class="has-comments"><p>Body</p></article>', "Body"),
+    ('<div class="content no-sidebar"><article><p>Body</p></article></div>', "Body"),
+    ('<article><div class="article-header"><h1>Head</h1></div><p>Body</p><div class="post-comments"><p>Reader</p></div></article>', "Head\nBody"),
+    ('<article><p>Before</p><svg><path d="M0"><p>After</p></article><footer>end</footer>', "Before\nAfter"),
+    ('<article><p>Before <svg><text>no</text></svg>it</p><select><option>no</select><iframe>no</iframe><p>After</p></article>', "Before it\nAfter"),
+    ('<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>', "so x=1 holds"),
+    ('<article><p>Text</p><p><a href=x>The whole paragraph is a link</a></p><div class="ad-slot"><p>Buy</p></div><div id=siteNav><p>Go</p></div></article>',
+     "Text\nThe whole paragraph is a link"),
+    ('<article class="comment"><p>Reader</p></article><main class="page-footer-light"><p>Body</p></main>', "Body"),
+])
+def test_names_and_open_elements_lose_no_text(page, want):
+    assert pages.main_text(page) == want
+
+
 def test_open_blocks_take_the_nearest_label():
     assert pages.first_pass("short", 0, "outside") is None and pages.first_pass(LONG, 0, "outside") is True
     assert pages.first_pass("xq zv " * 40, 0, "outside") is False and pages.first_pass("a link here", 11, "article") is False
@@ -51,6 +66,7 @@ def test_tables_lists_and_code_of_a_page_without_an_article_stay():
 
 def test_long_and_broken_pages_end():
     assert pages.main_text("<article><p>" + "word " * 200_000) == ("word " * 200_000).strip()
+    assert pages.main_text("<p>a" + "<svg><select>" * 60_000 + "<p>end") == "a\nend"
     assert pages.main_text("<div class=\"x" * 3000 + "<p>end") is not None and pages.main_text("<" * 5000) is not None
 
 

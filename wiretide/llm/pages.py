@@ -29,13 +29,15 @@ el la los las de del y en un una es que por con para no se su al lo como más pe
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|title|noscript|template|textarea|select|svg|iframe|object|math)\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
+    r"|<(script|style|title|noscript|template|textarea)\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>"
     r"|<[!?][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[A-Za-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
+#: Elements without main text, up to their end; one that is never closed hides nothing.
+_EMBEDDED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("svg", "select", "iframe", "object")}
 
 _BREAKING = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2
 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -45,6 +47,10 @@ _BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset
 _BOILERPLATE_NAMES = frozenset("""ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
 copyright disqus footer gdpr header menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related share sharing
 sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget complementary contentinfo search dialog alert""".split())
+#: What a name that only tells of boilerplate elsewhere begins with, and whose header or footer belongs to the text.
+_STATES = frozenset("has no not with without is hide show".split())
+_CONTENT_NAMES = frozenset("article content entry main page post story text".split())
+_PARTS_OF_CONTENT = frozenset("header footer banner menu tags notice search toolbar".split())
 
 #: Rules of the first pass.
 LONG, SHORT, LINKS, MANY_STOP_WORDS, SOME_STOP_WORDS = 200, 70, 0.5, 0.25, 0.1
@@ -52,6 +58,17 @@ LONG, SHORT, LINKS, MANY_STOP_WORDS, SOME_STOP_WORDS = 200, 70, 0.5, 0.25, 0.1
 FEW_LINKS, DENSE = 0.2, 3
 
 
+def _names_boilerplate(name: str, whole: bool) -> bool:
+    """Whether a class, id or role tells of boilerplate, by the whole name or, but for ``whole``, by its first or last part."""
+    if name.lower() in _BOILERPLATE_NAMES:
+        return True
+    parts = [part.lower() for part in _PART.findall(name)]
+    if whole or not parts or parts[0] in _STATES:
+        return False
+    ends = {parts[0], parts[-1]} & _BOILERPLATE_NAMES
+    return bool(ends - _PARTS_OF_CONTENT if parts[0] in _CONTENT_NAMES else ends)
+
+
 def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in _BOILERPLATE_TAGS or (tag == "header" and not inside_article):
         return True
@@ -59,26 +76,37 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     for found in _NAMES.finditer(attributes):
         value = found[1] or found[2] or found[3] or ""
-        if any(part.lower() in _BOILERPLATE_NAMES for part in _WORD.findall(value)):
+        if any(_names_boilerplate(name, tag in ("article", "main")) for name in value.split()):
             return True
     return bool(_HIDDEN.search(attributes))
 
 
 def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(text, characters inside links, place) of each block; the place is article, outside, data (a table, list or code outside) or boilerplate."""
+    """(text, characters inside links, place) of each block; the place is article, paragraph (of an article), outside, data (a table,
+    list or code outside) or boilerplate."""
     found, parts, linked, links = [], [], 0, 0
     stack: list[tuple[str, str]] = []
-    place, at, last_break = "outside", 0, -2
+    place, at, last_break, hidden, paragraph = "outside", 0, -2, 0, False
+    ends: dict[str, int] = {}
     page = page.replace("\0", "")
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            found.append((text, min(linked, len(text)), place))
+            found.append((text, min(linked, len(text)), "paragraph" if paragraph and place == "article" else place))
         parts, linked = [], 0
 
+    def end_of(tag: str, begin: int) -> int:
+        """Where an embedded element ends, its opening tag if nowhere; searched again only beyond the end found last."""
+        if ends.get(tag, begin) <= begin:
+            found_end = _EMBEDDED[tag].search(page, begin)
+            ends[tag] = found_end.end() if found_end else len(page) + 1
+        return begin if ends[tag] > len(page) else ends[tag]
+
     for token in _TOKEN.finditer(page):
+        if token.start() < hidden:
+            continue
         if token.start() > at:
             text = html.unescape(page[at:token.start()])
             parts.append(text)
@@ -89,7 +117,10 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         if not tag:
             continue
         closing, attributes = bool(token[2] or token[5]), token[4] or token[7] or ""
-        if tag == "a":
+        if tag in _EMBEDDED:
+            if not closing and not attributes.endswith("/"):
+                at = hidden = end_of(tag, at)
+        elif tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
             if last_break == len(parts):  # an empty line ends a block
@@ -98,7 +129,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             last_break = len(parts)
         elif tag in _BREAKING or tag == "button":
             close()
-            links = 0
+            links, paragraph = 0, tag == "p" and not closing
             if tag == "body":
                 stack, place = [], "outside"
             elif tag in _CONTAINERS or tag == "button":
@@ -153,6 +184,8 @@ def lists_fit(found: list[tuple[str, int, str]]) -> bool:
 
 def first_pass(text: str, linked: int, place: str, fit: bool = True) -> bool | None:
     """True for main text, False for boilerplate, None where only the neighbours can tell. ``fit`` is what lists_fit says of the page."""
+    if place == "paragraph":
+        return True
     if place == "boilerplate" or linked > LINKS * len(text):
         return False
     if place == "article":
@@ -176,8 +209,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     fit = lists_fit(found)
     labels = [first_pass(*block, fit) for block in found]
-    if any(place == "article" and label for (_, _, place), label in zip(found, labels)):
-        labels = [label and place == "article" for (_, _, place), label in zip(found, labels)]
+    inside = [place in ("article", "paragraph") for _, _, place in found]
+    if any(label and own for label, own in zip(labels, inside)):
+        labels = [label and own for label, own in zip(labels, inside)]
     decided = np.array([i for i, label in enumerate(labels) if label is not None], np.int64)
     kept = []
     for i, (text, _, _) in enumerate(found):
