@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,15 @@ def test_one_text_for_all_and_hot_openings(spark):
     check(spark, [(c, t, "user", "same") for c in range(60) for t in range(4)] + [(c, t, "user", f"own {c}") for c in range(60, 90) for t in range(2)])
 
 
+def test_pieces_and_their_digests(monkeypatch):
+    monkeypatch.setattr(tries, "PIECE", 3)
+    ids = pd.DataFrame({"a1": [1] * 7 + [1] * 2 + [5], "a2": [2] * 7 + [3] * 2 + [3], "conv_id": [1, 2, 30, 4000, 5000, 60000, 70000, -5, 9, 8]})
+    pieces = pd.concat(tries._pieces([ids[:4], ids[4:]]))
+    assert pieces.ids.tolist() == ["1,2,30", "4000", "5000,60000,70000", "-5,9", "8"] and pieces["first"].tolist() == [1, 4000, 5000, -5, 8]
+    got = pd.concat(tries._digests([pieces[:2], pieces[2:]]))
+    assert got.ends_sha256.tolist() == [hashlib.sha256(t.encode()).hexdigest() for t in ("1,2,30,4000,5000,60000,70000", "-5,9", "8")]
+
+
 def test_long_conversation_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(tries, "CHUNK", 16)
     check(spark, [(5, t, "user", f"t{t % 7}") for t in range(150)] + [(6, t, "user", f"t{t % 7}") for t in range(130)] + [(8, 0, "user", "t0")])

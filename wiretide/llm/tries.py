@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -68,10 +69,11 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def _pieces(frames):
     for frame in frames:
-        for (a1, a2), ids in frame.groupby(["a1", "a2"], sort=False)["conv_id"]:
-            for at in range(0, len(ids), PIECE):
-                part = ids.iloc[at:at + PIECE]
-                yield pd.DataFrame({"a1": [a1], "a2": [a2], "first": [part.iloc[0]], "ids": [",".join(map(str, part))]})
+        a1, a2, ids = frame["a1"].to_numpy(), frame["a2"].to_numpy(), frame["conv_id"].astype(str).tolist()
+        fresh = np.flatnonzero((a1[1:] != a1[:-1]) | (a2[1:] != a2[:-1])) + 1
+        starts = [at for run, end in zip([0, *fresh], [*fresh, len(ids)]) for at in range(run, end, PIECE)]
+        texts = [",".join(ids[at:end]) for at, end in zip(starts, [*starts[1:], len(ids)])]
+        yield pd.DataFrame({"a1": a1[starts], "a2": a2[starts], "first": frame["conv_id"].to_numpy()[starts], "ids": texts})
 
 
 def _digests(frames):
