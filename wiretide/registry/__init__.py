@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from wiretide.registry import alerts, domains, flows, learning, windows  # noqa: F401
+    from wiretide.registry import alerts, domains, flows, learning, payloads, windows  # noqa: F401

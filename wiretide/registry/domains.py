@@ -133,12 +133,16 @@ def _hex(value, digits):
     return F.lpad(F.hex(value.cast("long")), digits, "0")
 
 
+def dns_message():
+    """A DNS question for the name in ``domain``, by native expressions."""
+    name = F.array_join(F.transform(F.split("domain", r"\."), lambda p: F.concat(_hex(F.length(p), 2), F.hex(p))), "")
+    return F.unhex(F.concat(F.lit("ABCD01000001000000000000"), name, F.lit("0000010001")))
+
+
 @query("dns_question_decode", ctes("v_domains") + "select id, kind, domain query_name, '1' query_type, true ok from v_domains where domain is not null")
 def dns_question_decode(spark, sf_dir):
     """Names are encoded as DNS questions by native expressions and decoded from the bytes."""
-    name = F.array_join(F.transform(F.split("domain", r"\."), lambda p: F.concat(_hex(F.length(p), 2), F.hex(p))), "")
-    message = F.unhex(F.concat(F.lit("ABCD01000001000000000000"), name, F.lit("0000010001")))
-    return (domains(spark, sf_dir).filter("domain is not null").select("id", "kind", decode_question(message).alias("q"))
+    return (domains(spark, sf_dir).filter("domain is not null").select("id", "kind", decode_question(dns_message()).alias("q"))
             .select("id", "kind", "q.query_name", "q.query_type", "q.ok"))
 
 

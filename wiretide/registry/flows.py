@@ -113,6 +113,9 @@ _VECTOR_SQL = {
     "ack_share": "ack_count / packet_count", "log_payload_ratio": "ln(1 + payload_to_header_ratio)",
     "is_dns": "case when src_port = 53 or dst_port = 53 then 1 else 0 end",
     "dst_port_common": f"case when {_in('dst_port', COMMON_SERVICE_PORTS)} then 1 else 0 end",
+    "pkt_len_min": "pkt_len_min", "pkt_len_max": "pkt_len_max", "iat_std": "least(120, iat_std)",
+    "is_portless": "case when protocol in ('TCP', 'UDP') then 0 else 1 end", "src_internal": f"case when {internal_sql('src_ip')} then 1 else 0 end",
+    "dst_internal": f"case when {internal_sql('dst_ip')} then 1 else 0 end",
     "src_port_ephemeral": f"case when src_port >= 1024 and not {_in('src_port', COMMON_SERVICE_PORTS)} then 1 else 0 end",
 }
 
