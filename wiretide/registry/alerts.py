@@ -54,11 +54,13 @@ rules as (
 al as (select threat_class, c confidence_score, {_SEVERITY.format(c='c')} severity, ts_us, flow_id, concat(key, '_', threat_class) dedup_key, seq from rules)"""
 
 
-FOUR_RULES = [beaconing(), exfiltration(), flood(LOW_FLOOD), port_scan(LOW_SCAN)]
+def four_rules():
+    """Columns need a session, so the rules are made when a query runs."""
+    return [beaconing(), exfiltration(), flood(LOW_FLOOD), port_scan(LOW_SCAN)]
 
 
 def _detections(spark, sf_dir):
-    return detection.detections(packets(spark, sf_dir), DetectionConfig(flow=SHORT_ACTIVE), detectors=FOUR_RULES)
+    return detection.detections(packets(spark, sf_dir), DetectionConfig(flow=SHORT_ACTIVE), detectors=four_rules())
 
 
 @query("alert_union", _UNION_SQL + "select * exclude (seq) from al")
@@ -88,7 +90,7 @@ select (select count(*) from v_packets) total_packets, (select sum(packet_length
 def run_statistics(spark, sf_dir):
     """Totals of a whole run; rates and latencies, which no two runs share, are left out here."""
     cfg = DetectionConfig(flow=SHORT_ACTIVE)
-    _, seen = detection.run_with_statistics(packets(spark, sf_dir), cfg, None, FOUR_RULES)
+    _, seen = detection.run_with_statistics(packets(spark, sf_dir), cfg, None, four_rules())
     return seen.frame(spark).select("total_packets", "total_bytes", "total_flows", "total_windows", "total_alerts")
 
 

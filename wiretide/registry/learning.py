@@ -18,7 +18,7 @@ from wiretide.operators.flows import flows
 from wiretide.operators.windows import candidate_hosts
 from wiretide.plans import analytics, detection, training
 from wiretide.registry import query
-from wiretide.registry.alerts import FOUR_RULES, chain_sql
+from wiretide.registry.alerts import chain_sql, four_rules
 from wiretide.registry.flows import BEACON_SQL, EXFIL_SQL, SHORT_ACTIVE, flow_ctes
 from wiretide.registry.windows import _CANDIDATE, _FLOOD_SQL, _HOSTS, _SCAN_SQL, BOTH, LOW_FLOOD, LOW_SCAN, host_rows, packets
 
@@ -266,7 +266,7 @@ select variant, cls threat_class, detected_by, count(*) n, count(*) filter (src
  round(10000.0 * count(*) / (select count(*) from ff), 2) per_10k_flows, (select count(*) from v_packets) packets, (select count(*) from ff) flows,
  sum(count(*)) over (partition by variant)::bigint alerts from pub group by variant, cls, detected_by""")
 def capture_evaluation(spark, sf_dir):
-    return training.capture_evaluation(packets(spark, sf_dir), scorecards(), DetectionConfig(flow=SHORT_ACTIVE), "10.0.1.3", FOUR_RULES)
+    return training.capture_evaluation(packets(spark, sf_dir), scorecards(), DetectionConfig(flow=SHORT_ACTIVE), "10.0.1.3", four_rules())
 
 
 @query("ml_scorecard_scores", flow_ctes(30_000_000) + f"""

@@ -17,7 +17,7 @@ from wiretide.registry.alerts import chain_sql
 from wiretide.registry.domains import _ANALYSIS, _HELLOS, _PORTS, _hello_bytes, dns_message, domains, hellos
 
 T0 = 1704067200000000
-_FLAGS = {flag: F.lit(False) for flag in ("syn", "fin", "rst", "psh", "urg")}
+_FLAGS = ("syn", "fin", "rst", "psh", "urg")
 
 
 def payload_packets(spark, sf_dir):
@@ -35,7 +35,7 @@ def payload_packets(spark, sf_dir):
         (F.lit(T0) + F.col("hello_id") * 8_000_000 + F.col("n") * 100_000).cast("long").alias("ts_us"),
         F.when(F.col("n") == 1, _hello_bytes()).otherwise(F.encode(F.lit("no hello"), "UTF-8")).alias("raw_payload"))
     size = F.length("raw_payload")
-    return (names.unionByName(tls).withColumns({**_FLAGS, "ack": F.col("protocol") == "TCP", "payload_length": size, "packet_length": size + 54})
+    return (names.unionByName(tls).withColumns({**{flag: F.lit(False) for flag in _FLAGS}, "ack": F.col("protocol") == "TCP", "payload_length": size, "packet_length": size + 54})
             # In traffic order; every packet has its own time within its 5-tuple
             .withColumn("pkt_id", F.col("ts_us")))
 
