@@ -50,6 +50,14 @@ def test_explanations(spark, model):
     assert any(x.feature == "bytes in flow" for row in got if row.f for x in row.f)
 
 
+def test_trees_that_never_split_have_no_factors(spark):
+    rows = vectors(spark, "flow", (BEACON, EXFIL), 4).withColumn("features", array_to_vector(F.array_repeat(F.lit(1.0), len(forest.LAYOUT["flow"]))))
+    alike = forest.train("flow", rows, trees=2, depth=2)
+    assert forest.leaf_table(spark, alike).count() == 0
+    got = forest.with_explanation(rows, alike, "flow", forest.CLASSES["flow"], target="label").collect()
+    assert len(got) == 8 and all(row.factors == [] for row in got)
+
+
 def test_leaves_add_up_to_the_probability(spark, model):
     """The root's share plus everything a leaf table says about the reached leaves is the forest's own probability."""
     from pyspark.ml.functions import vector_to_array

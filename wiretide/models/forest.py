@@ -154,7 +154,8 @@ def _leaf_rows(tree: pd.DataFrame) -> pd.DataFrame:
         found.append(pd.DataFrame(gain).assign(leaf=leaf[at.index].to_numpy(), feature=tree.loc[above, "featureIndex"].to_numpy()))
         at = above
     if not found:
-        return pd.DataFrame({"tree": [], "leaf": [], "feature": [], "gains": []})
+        # A tree that never splits; lists need a column of objects even where there are none
+        return pd.DataFrame({"tree": [], "leaf": [], "feature": [], "gains": pd.Series([], dtype=object)})
     sums = pd.concat(found).groupby(["leaf", "feature"]).sum()
     keys = sums.index.to_frame(index=False)
     return keys.assign(tree=int(tree["tree"].iloc[0]), gains=sums.to_numpy().tolist())[["tree", "leaf", "feature", "gains"]]

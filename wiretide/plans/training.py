@@ -29,6 +29,11 @@ def host_training_rows(packets: DataFrame, labels: DataFrame, cfg: DetectionConf
     return with_host_vector(candidate_hosts(label_host_windows(both, labels, cfg.window), min_packets, min_fan_out))
 
 
+def held_out(*key: str) -> Column:
+    """Whether a row is kept back from the fit: three sixteenths of the keys, the same ones in every run."""
+    return F.substring(F.md5(F.concat_ws("|", *key)), 1, 1).isin("0", "1", "2")
+
+
 def with_host_rule_label(rows: DataFrame, flood_cfg: FloodConfig = FloodConfig(), scan_cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """``rule_label`` of host rows: what the flood rule says of a host as target, else the scan rule as source."""
     sides = {"packets": "in_packets", "peak_pps": "in_peak_pps", "syn_only_ratio": "in_syn_only_ratio", "udp_ratio": "in_udp_ratio",

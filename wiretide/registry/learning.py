@@ -279,55 +279,116 @@ def ml_scorecard_scores(spark, sf_dir):
 
 # ---- forests (not expressible in SQL) -----------------------------------------------------------
 
-def _flow_training(spark, sf_dir):
-    return with_flow_vector(labelled_flows(spark, sf_dir)).select("features", "label")
+#: A flow or a host window kept back from the fit, in either SQL.
+_HELD_FLOW = "substr(md5(concat_ws('|', flow_id, flow_start_us)), 1, 1) in ('0', '1', '2')"
+
+
+def _flow_rows(spark, sf_dir, held):
+    chosen = training.held_out("flow_id", "flow_start_us")
+    return with_flow_vector(labelled_flows(spark, sf_dir)).filter(chosen if held else ~chosen)
 
 
 def _host_training(spark, sf_dir, rows):
-    return with_host_vector(candidate_hosts(labelled_hosts(spark, sf_dir, rows), 20, 2)).select("features", "label")
+    hosts = with_host_vector(candidate_hosts(labelled_hosts(spark, sf_dir, rows), 20, 2))
+    return hosts.filter(~training.held_out("window_start_us", "host")).select("features", "label")
+
+
+#: Shape of the forests of queries that are about explanations, importances and alerts, where the full one only costs time.
+_SMALL = {"trees": 10, "depth": 6}
 
 
-def _fit(kind, rows):
-    return forest.train(kind, rows, trees=10, depth=6)
+def _fit_flows(spark, sf_dir, **shape):
+    return forest.train("flow", _flow_rows(spark, sf_dir, held=False).select("features", "label"), **shape)
+
+
+def _held_flow_scores(spark, sf_dir):
+    rows = with_flow_vector(flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False)))
+    return forest.predict(rows.filter(training.held_out("flow_id", "flow_start_us")), _fit_flows(spark, sf_dir), forest.CLASSES["flow"])
 
 
 @query("ml_flow_scores")
 def ml_flow_scores(spark, sf_dir):
-    model = _fit("flow", _flow_training(spark, sf_dir))
-    rows = with_flow_vector(flow_features(flows(packets(spark, sf_dir), SHORT_ACTIVE, splt=False)))
-    return forest.predict(rows, model, forest.CLASSES["flow"]).select("flow_id", "flow_start_us", "ml_class", F.round("ml_prob", 6).alias("ml_prob"))
+    return _held_flow_scores(spark, sf_dir).select("flow_id", "flow_start_us", "ml_class", F.round("ml_prob", 6).alias("ml_prob"))
+
+
+@query("ml_score_facts", flow_ctes(30_000_000) + f"""
+select flow_id, flow_start_us, 1.0::double prob_sum, true best_is_largest, true class_is_known from ff where {_HELD_FLOW}""")
+def ml_score_facts(spark, sf_dir):
+    """What holds of the scores of any forest: they add up to one, and the class told is the likeliest."""
+    values = F.map_values("ml_probs")
+    return _held_flow_scores(spark, sf_dir).select(
+        "flow_id", "flow_start_us", F.round(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), 6).alias("prob_sum"),
+        ((F.col("ml_prob") == F.array_max(values)) & (F.col("ml_probs")[F.col("ml_class")] == F.col("ml_prob"))).alias("best_is_largest"),
+        F.col("ml_class").isin(*forest.CLASSES["flow"]).alias("class_is_known"))
+
+
+@query("ml_training_facts", _FLOW_LABELS + f""",
+parts as (select label, {_HELD_FLOW} held from lf)
+select label, count(*) filter (not held) n_fit, count(*) filter (held) n_held, round((select count(*) from parts where not held) / (select count(distinct label) from parts where not held), 4) weight,
+ 120 trees, true depth_within_16, true all_features from parts group by label having count(*) filter (not held) > 0""")
+def ml_training_facts(spark, sf_dir):
+    """The rows and weights a forest of full shape is fitted on, by class, and its shape."""
+    model = _fit_flows(spark, sf_dir)
+    held = training.held_out("flow_id", "flow_start_us")
+    rows = labelled_flows(spark, sf_dir).withColumn("held", held)
+    counts = rows.groupBy("label").agg(F.count_if(~F.col("held")).alias("n_fit"), F.count_if("held").alias("n_held"))
+    weights = forest.with_balanced_weights(rows.filter(~F.col("held"))).groupBy("label").agg(F.round(F.sum("weight"), 4).alias("weight"))
+    return counts.join(weights, "label").select(
+        "label", "n_fit", "n_held", "weight", F.lit(model.getNumTrees).alias("trees"), F.lit(max(tree.depth for tree in model.trees) <= 16).alias("depth_within_16"),
+        F.lit(model.numFeatures == len(forest.LAYOUT["flow"])).alias("all_features"))
 
 
 @query("ml_host_scores")
 def ml_host_scores(spark, sf_dir):
     hosts = materialize(host_rows(spark, sf_dir))
-    model = _fit("host", _host_training(spark, sf_dir, hosts))
-    rows = with_host_vector(candidate_hosts(hosts, 20, 2))
+    model = forest.train("host", _host_training(spark, sf_dir, hosts))
+    rows = with_host_vector(candidate_hosts(hosts, 20, 2)).filter(training.held_out("window_start_us", "host"))
     return forest.predict(rows, model, forest.CLASSES["host"]).select("window_start_us", "host", "ml_class", F.round("ml_prob", 6).alias("ml_prob"))
 
 
+def _held_explanations(spark, sf_dir):
+    rows = _flow_rows(spark, sf_dir, held=True).filter("label <> 'benign'")
+    return forest.with_explanation(rows, _fit_flows(spark, sf_dir, **_SMALL), "flow", forest.CLASSES["flow"], target="label")
+
+
 @query("ml_explain")
 def ml_explain(spark, sf_dir):
-    rows = _flow_training(spark, sf_dir)
-    model = _fit("flow", rows)
-    explained = forest.with_explanation(rows.filter("label <> 'benign'"), model, "flow", forest.CLASSES["flow"], target="label")
-    return (explained.select("label", F.explode("factors").alias("f"))
+    return (_held_explanations(spark, sf_dir).select("label", F.explode("factors").alias("f"))
             .groupBy("label", F.col("f.feature").alias("feature"))
             .agg(F.count("*").alias("n"), F.round(F.avg("f.contribution"), 4).alias("mean_contribution")))
 
 
+@query("ml_explain_facts", _FLOW_LABELS + f"""
+select label, count(*) n, count(*) n_sound from lf where label <> 'benign' and {_HELD_FLOW} group by label""")
+def ml_explain_facts(spark, sf_dir):
+    """Every attack has at most three factors, strongest first, none against its class, each named as in the vector."""
+    told, named = F.col("factors.contribution"), F.array(*[F.lit(x) for x in forest.LAYOUT["flow"].values()])
+    sound = ((F.size("factors") <= 3) & F.forall(told, lambda c: c >= 0) & (F.reverse(F.array_sort(told)) == told)
+             & (F.size(F.array_except(F.col("factors.feature"), named)) == 0) & (F.size(F.array_distinct(F.col("factors.feature"))) == F.size("factors")))
+    return _held_explanations(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_if(sound).alias("n_sound"))
+
+
 @query("ml_feature_importance")
 def ml_feature_importance(spark, sf_dir):
-    flow_model = _fit("flow", _flow_training(spark, sf_dir))
+    flow_model = _fit_flows(spark, sf_dir, **_SMALL)
     return forest.feature_importance(forest.ThreatModel(flow_model, flow_model), "flow").limit(10)
 
 
+@query("ml_importance_facts", _FLOW_LABELS + f"""
+select count(*) n_fit, 35 features, 1.0::double total, true none_negative from lf where not {_HELD_FLOW}""")
+def ml_importance_facts(spark, sf_dir):
+    """Importances of all vector entries: none is negative, and together they are one."""
+    flow_model = _fit_flows(spark, sf_dir, **_SMALL)
+    told = forest.feature_importance(forest.ThreatModel(flow_model, flow_model), "flow").agg(
+        F.countDistinct("feature").cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative"))
+    return _flow_rows(spark, sf_dir, held=False).agg(F.count("*").alias("n_fit")).join(told)
+
+
 @query("ml_hybrid_alerts")
 def ml_hybrid_alerts(spark, sf_dir):
     """The whole detection with rules and forests: published alerts per class and source."""
-    model = forest.ThreatModel(_fit("flow", _flow_training(spark, sf_dir)),
-                               _fit("host", _host_training(spark, sf_dir, materialize(host_rows(spark, sf_dir)))),
-                               {"flow": 0.5, "host": 0.5})
+    hosts = _host_training(spark, sf_dir, materialize(host_rows(spark, sf_dir)))
+    model = forest.ThreatModel(_fit_flows(spark, sf_dir, **_SMALL), forest.train("host", hosts, **_SMALL), {"flow": 0.5, "host": 0.5})
     cfg = DetectionConfig(flood=LOW_FLOOD, scan=LOW_SCAN)
     alerts = detection.run(packets(spark, sf_dir), cfg, model)
     return alerts.groupBy("threat_class", F.get_json_object("evidence", "$.detected_by").alias("detected_by")).agg(F.count("*").alias("n"))
