@@ -69,6 +69,18 @@ def test_pairs_at_the_threshold_share_a_band():
     assert met >= 0.998 * n
 
 
+def test_sets_meet_through_the_classes_of_their_fingerprints(spark):
+    rng = random.Random(6)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    texts = [base, changed(base, rng, 1), " ".join(f"w{rng.randrange(5000)}" for _ in range(300)), ""]
+    a, b, c = (minhash.shingles(t) for t in texts[:3])
+    mark = int(minhash.majority(a)) >> 2
+    # No band at all; the fourth set shares a fingerprint and is another text
+    rows = [(1, len(a), mark, [], texts[0]), (2, len(b), mark ^ 3, [], texts[1]), (3, len(c), mark, [], texts[2]), (0, 0, 0, [], texts[3])]
+    found = minhash.links(spark.createDataFrame(rows, "fp long, size long, mark long, keys array<long>, text string"))
+    assert {frozenset((r.a, r.b)) for r in found.collect()} == {frozenset((1, 2))}
+
+
 def test_common_counts_and_forest():
     rng = random.Random(9)
     sets = [np.array(sorted({rng.randrange(60) for _ in range(rng.randint(1, 40))}), np.uint64) for _ in range(50)] + [np.arange(20, dtype=np.uint64)] * 3

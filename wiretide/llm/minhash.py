@@ -1,9 +1,11 @@
-"""Near-duplicates by Jaccard similarity of word shingles, found through MinHash bands and confirmed exactly.
-
-Texts with the same set of shingles are one set. Sets that agree on all values of a band meet; they link if the exact
-similarity of their shingles is high enough. A pair at the threshold shares a band with probability
-1 - (1 - SIMILARITY ** BAND_ROWS) ** BANDS. First every member of a band is compared with the band's first one, which joins
-most groups of copies at once. Bands whose members that leaves apart become groups of sets: a task counts the shingles
+"""Near-duplicates by Jaccard similarity of word shingles, found through SimHash and MinHash and confirmed exactly.
+
+Texts with the same set of shingles are one set. Each set has a SimHash fingerprint of its shingles; the vantage-point
+trees of ``simhash`` find the classes of fingerprints that few differing bits link, and the sets of a class meet. Pairs
+at the threshold mostly differ in more bits, so sets that agree on all values of a MinHash band meet as well; a class is
+handled like a band. Sets that meet link if the exact similarity of their shingles is high enough. A pair at the threshold
+shares a band with probability 1 - (1 - SIMILARITY ** BAND_ROWS) ** BANDS. First every member of a band is compared with
+the band's first one, which joins most groups of copies at once. Bands whose members that leaves apart become groups of sets: a task counts the shingles
 that members share from posting lists and returns a spanning forest, so that no candidate pair is ever a row. Bands with
 the same members are one group, and a band of more than SLICE shingles meets slice by slice.
 """
@@ -17,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wiretide.llm import simhash
 from wiretide.llm.common import stored, text_batches
-from wiretide.llm.simhash import one_of_each, rooted_classes, stars
+from wiretide.llm.simhash import majority, one_of_each, rooted_classes, stars
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, BAND_ROWS = 26, 6
@@ -66,10 +69,11 @@ def _sets(batches):
         for text in set(texts):
             hashed = shingles(text)
             name = xxhash.xxh64_intdigest(hashed.tobytes(), SEED) if len(hashed) else 0
-            known[text] = np.uint64(name).astype(np.int64).item(), len(hashed), bands(hashed).tolist() if len(hashed) else []
-        fp, size, keys = zip(*(known[t] for t in texts))
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                                         names=[*part.schema.names, "fp", "size", "keys"])
+            mark = np.uint64(majority(hashed)).astype(np.int64).item()
+            known[text] = np.uint64(name).astype(np.int64).item(), len(hashed), mark, bands(hashed).tolist() if len(hashed) else []
+        fp, size, marks, keys = zip(*(known[t] for t in texts))
+        yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in (fp, size, marks)), pa.array(keys, pa.list_(pa.int64()))],
+                                         names=[*part.schema.names, "fp", "size", "mark", "keys"])
 
 
 def _confirmed(batches):
@@ -138,9 +142,19 @@ def _group(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[pairs[:, 0]], "b": fps[pairs[:, 1]]})
 
 
+def classes(sets: DataFrame) -> DataFrame:
+    """(mark, key): one key per class of the fingerprints ``mark`` that are linked through the vantage-point trees."""
+    marks = stored(sets.select(F.col("mark").alias("fp")).distinct())
+    roots = stars(simhash.links(marks)).withColumnRenamed("node", "fp")
+    return marks.join(roots, "fp", "left").select(F.col("fp").alias("mark"), F.xxhash64(F.lit(BANDS), F.coalesce("root", "fp")).alias("key"))
+
+
 def links(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the sets in ``rows`` (fp, size, keys, text) that connect exactly the similar ones that share a band."""
-    each = rows.select("fp", "size", "keys").dropDuplicates(["fp"]).select("fp", "size", F.explode("keys").alias("key"))
+    """Pairs (a, b) of the sets in ``rows`` (fp, size, mark, keys, text) that connect exactly the similar ones that share
+    a class of fingerprints or a band."""
+    sets = rows.filter("size > 0").select("fp", "size", "mark", "keys").dropDuplicates(["fp"])
+    each = (sets.select("fp", "size", F.explode("keys").alias("key"))
+            .unionByName(sets.select("fp", "size", "mark").join(classes(sets), "mark").drop("mark")))
     shared = each.groupBy("key").agg(F.min_by(F.struct(F.col("fp").alias("a"), F.col("size").alias("size_a")), "fp").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(each.join(shared.select("key", "first.*"), "key"))
     texts = stored(rows.select("fp", "text").join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")))
@@ -167,7 +181,7 @@ def near_duplicates(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, fp (long, names a set of shingles), root, component_id and the columns of ``extra``, as in simhash."""
     rows = docs.select("doc_id", *extra, "text")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in rows.columns), "fp long", "size long", "keys array<long>"])
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in rows.columns), "fp long", "size long", "mark long", "keys array<long>"])
     sets = stored(rows.mapInArrow(_sets, schema))
     return rooted_classes(sets.select("doc_id", *extra, "fp"), lambda _: links(sets))
 

@@ -33,7 +33,11 @@ def fingerprint(text: str | None) -> int:
     starts = [0, *(spaces + 1).tolist()]
     ends = [*spaces.tolist(), len(words)]
     width, digest = min(SHINGLE, len(starts)), xxhash.xxh64_intdigest
-    hashed = np.array([digest(words[a:b], SEED) for a, b in zip(starts, ends[width - 1:])], np.uint64)
+    return majority(np.array([digest(words[a:b], SEED) for a, b in zip(starts, ends[width - 1:])], np.uint64))
+
+
+def majority(hashed: np.ndarray) -> int:
+    """A bit for every bit that more than half of the hash values have."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashed), 1 << 16):
         part = hashed[at:at + (1 << 16)]
