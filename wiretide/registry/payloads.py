@@ -20,15 +20,21 @@ T0 = 1704067200000000
 _FLAGS = ("syn", "fin", "rst", "psh", "urg")
 
 
+def _spread(rows, key):
+    """Rows of a small table whose bytes are costly to build, dealt to all tasks whatever the files look like."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def payload_packets(spark, sf_dir):
     """Packets of the domain and handshake views, with their bytes."""
     kinds = F.array(*[F.lit(k) for k in ("page", "dga", "tunnel", "infra", "short")])
     group = F.floor(F.col("id") / 5)
-    names = domains(spark, sf_dir).filter("domain is not null").select(
+    names = _spread(domains(spark, sf_dir).filter("domain is not null"), "id").select(
         F.concat(F.lit("10.1."), F.array_position(kinds, F.col("kind")).cast("string"), F.lit(".7")).alias("src_ip"), F.lit("8.8.8.8").alias("dst_ip"),
         (1024 + group % 60000).cast("int").alias("src_port"), F.lit(53).alias("dst_port"), F.lit("UDP").alias("protocol"),
         (F.lit(T0) + group * 20_000_000 + (F.col("id") % 5) * 100_000).cast("long").alias("ts_us"), dns_message().alias("raw_payload"))
-    each = hellos(spark, sf_dir).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    each = _spread(hellos(spark, sf_dir), "hello_id").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
     tls = each.select(
         F.concat(F.lit("10.2.0."), (F.col("hello_id") % 3).cast("string")).alias("src_ip"), F.lit("203.0.113.9").alias("dst_ip"),
         (1024 + F.col("hello_id") % 60000).cast("int").alias("src_port"), "dst_port", F.lit("TCP").alias("protocol"),
