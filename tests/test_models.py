@@ -14,6 +14,7 @@ from wiretide.operators.detectors import BEACON, EXFIL, FLOOD, SCAN
 from wiretide.operators.flows import flows
 from wiretide.operators.windows import fan_in, pane_counts
 from wiretide.plans import detection
+from wiretide.registry import learning
 
 S = 1_000_000
 
@@ -184,3 +185,15 @@ def test_model_card(spark, model, tmp_path):
     card = spark.read.json(str(tmp_path / "card")).first()
     assert len(card.flow_model.features) == 35 and card.flow_model.trees == 8 and len(card.host_model.top_features) == 8
     assert {(m.variant, m.recall) for m in card.holdout} == {("rules", 1.0), ("model", 0.0), ("hybrid", 1.0)}
+
+
+def test_flows_are_computed_once_for_a_fit(spark, monkeypatch):
+    """Weights need counts of all rows; the flows are not computed again for them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(label):
+        seen.add(1)
+        return label
+    rows = vectors(spark, "flow", (BEACON, EXFIL), 15).withColumn("label", F.udf(counted, "string").asNondeterministic()("label"))
+    monkeypatch.setattr(learning, "_flow_rows", lambda spark, sf_dir, held: rows)
+    assert learning._fit_flows(spark, "", trees=3, depth=2).getNumTrees == 3 and seen.value == 30

@@ -298,7 +298,11 @@ _SMALL = {"trees": 10, "depth": 6}
 
 
 def _fit_flows(spark, sf_dir, **shape):
-    return forest.train("flow", _flow_rows(spark, sf_dir, held=False).select("features", "label"), **shape)
+    rows = _flow_rows(spark, sf_dir, held=False).select("features", "label")
+    # Weights need counts of all rows, so the flows are computed once and written. They keep the order in which a shuffle
+    # by class leaves the rows of a partition, since the samples of a forest depend on it.
+    order = F.pmod(F.hash("label"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return forest.train("flow", materialize(rows.sortWithinPartitions(order)), **shape)
 
 
 def _held_flow_scores(spark, sf_dir):
