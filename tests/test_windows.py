@@ -2,13 +2,18 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import T0
 from wiretide.config import DetectionConfig, WindowConfig
 from wiretide.operators.detection import source_detections, target_detections
 from wiretide.operators.detectors import built_in
-from wiretide.operators.windows import candidate_hosts, fan_in, fan_out, hosts, pane_counts
+from wiretide.operators import windows
+from wiretide.operators.chain import materialize
+from wiretide.operators.windows import (
+    all_sources, all_targets, candidate_hosts, fan_in, fan_out, hosts, pairs_of, pane_counts, probe_pairs, source_totals, target_facets,
+    target_totals, window_rows, with_probed_ports)
 
 S = 1_000_000
 
@@ -122,3 +127,33 @@ def test_pane_shuffle_is_reused(make_packets):
     plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in text
+
+
+def _plain(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("limit, size, slide", [(windows.TASK_ROWS, 3, 1), (120, 5, 2), (1, 3, 1)])
+def test_totals_of_blocks_equal_those_of_shuffled_windows(make_packets, monkeypatch, limit, size, slide):
+    """Over several blocks of windows, with hosts that are busy in none, some or all of them."""
+    rng = random.Random(8)
+    rows = [{"pkt_id": i, "t": round(rng.random() * (8 if i % 2 else 200), 6), "src_ip": f"10.0.0.{rng.randint(1, 5)}",
+             "dst_ip": rng.choice(["10.1.0.1", "10.1.0.2"]), "dst_port": rng.randint(1, 4), "protocol": rng.choice(["TCP", "UDP"]),
+             "payload_length": rng.choice([0, 10]), "syn": rng.random() < 0.6, "ack": rng.random() < 0.3} for i in range(400)]
+    packets = make_packets(rows)
+    monkeypatch.setattr(windows, "TASK_ROWS", limit)
+    cfg = WindowConfig(size_us=size * S, slide_us=slide * S)
+    panes = materialize(pane_counts(packets, cfg))
+    whole = window_rows(panes, cfg)
+    targets, sources, pairs = target_totals(target_facets(whole, cfg), cfg), source_totals(probe_pairs(whole), cfg), probe_pairs(whole)
+    assert _plain(all_targets(panes, cfg)) == _plain(targets) and _plain(all_sources(panes, cfg)) == _plain(sources)
+    few = materialize(sources.filter("packets > 3"))
+    assert _plain(with_probed_ports(few, pairs_of(few, panes, cfg))) == _plain(with_probed_ports(few, pairs))
+
+
+def test_totals_shuffle_panes_and_not_windows(make_packets):
+    """Panes are dealt once; neither their copies in windows nor what these are summed to is shuffled."""
+    panes = materialize(pane_counts(make_packets([{"t": i * 0.5} for i in range(300)])))
+    for host, totals in (("dst_ip", lambda rows: target_totals(target_facets(rows))), ("src_ip", lambda rows: source_totals(probe_pairs(rows)))):
+        text = totals(windows._dealt(panes, host, WindowConfig())[0])._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(block#" in text

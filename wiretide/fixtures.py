@@ -7,6 +7,7 @@ evaluate the same definition.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -130,12 +131,12 @@ def ctes(*names: str) -> str:
     return "with recursive " + ",\n".join(f"{n} as materialized ({view_sql(n, 'duckdb')})" for n in ordered)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a lazy DataFrame over the parquet tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """A derived view as a lazy DataFrame over the parquet tables in ``sf_dir``; ``dealt`` may lay out the rows of a table anew."""
     base = _BASE.get(name)
     if base:
         view(spark, sf_dir, base).createOrReplaceTempView(f"wiretide_{base}")
     else:
         for table in _TABLES[name]:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"wiretide_{table}")
+            dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(f"wiretide_{table}")
     return spark.sql(view_sql(name, "spark"))

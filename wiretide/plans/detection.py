@@ -21,8 +21,8 @@ from wiretide.operators.detectors import THREAT_LEVEL, Detector, built_in
 from wiretide.operators.features import flow_features, with_flow_vector, with_host_vector
 from wiretide.operators.flows import flows
 from wiretide.operators.windows import (
-    candidate_hosts, hosts, pane_counts, probe_pairs, source_totals, target_facets, target_totals, window_rows,
-    with_probed_ports, with_top_sources)
+    all_sources, all_targets, candidate_hosts, hosts, pane_counts, pairs_of, window_rows, with_probed_ports, with_top_sources)
+from wiretide.session import swept
 
 
 def _together(spark: SparkSession, *jobs: Callable[[], DataFrame]) -> list[DataFrame]:
@@ -115,10 +115,9 @@ def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), mod
     flow_part, panes = _together(spark, flow_job, lambda: statistics.written(
         pane_counts(packets, cfg.window), total_packets=F.sum("packets"), total_bytes=F.sum("bytes")))
     begin = time.perf_counter()
-    statistics.total_windows = window_rows(panes, cfg.window).select("window_start_us").distinct().count()
-    rows = window_rows(panes, cfg.window)
-    pairs = probe_pairs(rows)
-    targets, sources = target_totals(target_facets(rows, cfg.window), cfg.window), source_totals(pairs, cfg.window)
+    with swept(spark):
+        statistics.total_windows = window_rows(panes, cfg.window).select("window_start_us").distinct().count()
+    targets, sources = _together(spark, lambda: all_targets(panes, cfg.window), lambda: all_sources(panes, cfg.window))
     if with_model:
         targets, sources = _together(spark, lambda: materialize(targets), lambda: materialize(sources))
         opinions = materialize(host_predictions(targets, sources, model))
@@ -127,7 +126,7 @@ def detections(packets: DataFrame, cfg: DetectionConfig = DetectionConfig(), mod
     hit_targets, hit_sources = _together(spark, lambda: materialize(targets.filter(reported(rules, "target", with_model))),
                                          lambda: materialize(sources.filter(reported(rules, "source", with_model))))
     host_part = (target_detections(with_top_sources(hit_targets, panes, cfg.window), rules, with_model, thresholds["host"])
-                 .unionByName(source_detections(with_probed_ports(hit_sources, pairs), rules, with_model, thresholds["host"]))
+                 .unionByName(source_detections(with_probed_ports(hit_sources, pairs_of(hit_sources, panes, cfg.window)), rules, with_model, thresholds["host"]))
                  .withColumn("kind", F.lit("host")))
     statistics.window_seconds, statistics.model = time.perf_counter() - begin, with_model
     return flow_part.unionByName(host_part)

@@ -207,24 +207,35 @@ def tls_anomaly_scores(spark, sf_dir):
     return scored.select("hello_id", "confidence", "is_threat", F.array_join(text_list(F.col("evidence"), "anomalies"), "; ").alias("anomalies"))
 
 
-def _hello_bytes():
-    """ClientHello record of a view row, built by native expressions; incomplete ones lose their last ten bytes."""
-    def block(text, width):
-        return F.concat(_hex(F.length(text) / 2, width), text)
-    suites = F.array_join(F.transform("ciphers", lambda c: _hex(c, 4)), "")
-    name = F.hex("sni")
-    sni = F.when(F.col("sni") == "", F.lit("")).otherwise(F.concat(F.lit("0000"), block(block(F.concat(F.lit("00"), block(name, 4)), 4), 4)))
-    extensions = F.concat(sni, F.lit("000A00080006" "1A1A001D0017"), F.lit("000B00020100"))
-    body = F.concat(_hex(F.col("tls_version"), 4), F.repeat(F.lit("00"), 33), block(suites, 4), F.lit("0100"), block(extensions, 4))
-    record = F.unhex(F.concat(F.lit("160301"), block(F.concat(F.lit("01"), block(body, 6)), 4)))
-    return F.when(F.col("complete"), record).otherwise(F.substring(record, F.lit(1), F.length(record) - 10))
+def with_hello_bytes(rows, name):
+    """ClientHello record of the rows of the view, built by native expressions; incomplete ones lose their last ten bytes.
+
+    Each part is a column, because a text that an expression names twice is built twice.
+    """
+    def block(part, width):
+        return F.concat(_hex(F.length(part) / 2, width), F.col(part))
+    parts = {
+        "_suites": F.array_join(F.transform("ciphers", lambda c: _hex(c, 4)), ""),
+        "_name": F.hex("sni"),
+        "_host": F.concat(F.lit("00"), block("_name", 4)),
+        "_hosts": block("_host", 4),
+        "_sni": F.when(F.col("sni") == "", F.lit("")).otherwise(F.concat(F.lit("0000"), block("_hosts", 4))),
+        "_extensions": F.concat("_sni", F.lit("000A00080006" "1A1A001D0017"), F.lit("000B00020100")),
+        "_body": F.concat(_hex(F.col("tls_version"), 4), F.repeat(F.lit("00"), 33), block("_suites", 4), F.lit("0100"), block("_extensions", 4)),
+        "_message": F.concat(F.lit("01"), block("_body", 6)),
+        "_record": F.unhex(F.concat(F.lit("160301"), block("_message", 4)))}
+    out = rows
+    for part, value in parts.items():
+        out = out.withColumn(part, value)
+    cut = F.substring("_record", F.lit(1), F.length("_record") - 10)
+    return out.withColumn(name, F.when(F.col("complete"), F.col("_record")).otherwise(cut)).drop(*parts)
 
 
 @query("client_hello_decode", _HELLOS + """select hello_id, true is_tls, tls_version, n::int cipher_count,
  case when complete then sni else '' end sni, case when complete then case when sni = '' then 2 else 3 end else 0 end extension_count,
  case when complete then s else '' end ja3_str, case when complete then md5(s) else '' end ja3_hash, complete from j""")
 def client_hello_decode(spark, sf_dir):
-    rows = hellos(spark, sf_dir).select("hello_id", _hello_bytes().alias("payload"))
+    rows = with_hello_bytes(hellos(spark, sf_dir), "payload").select("hello_id", "payload")
     sniffed = rows.filter(tls.looks_like_hello(F.col("payload")))
     return tls.with_client_hello(sniffed, "payload").select("hello_id", "is_tls", "tls_version", "cipher_count", "sni", "extension_count",
                                                              "ja3_str", "ja3_hash", "complete")

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wiretide.config import DetectionConfig, FlowConfig
-from wiretide.fixtures import ctes
+from wiretide.fixtures import ctes, view
 from wiretide.operators.features import flow_features, flow_vector_columns
 from wiretide.operators.flows import flows
 from wiretide.plans import detection
 from wiretide.registry import query
 from wiretide.registry.alerts import chain_sql
-from wiretide.registry.domains import _ANALYSIS, _HELLOS, _PORTS, _hello_bytes, dns_message, domains, hellos
+from wiretide.registry.domains import _ANALYSIS, _HELLOS, _PORTS, dns_message, domains, with_hello_bytes
 
 T0 = 1704067200000000
 _FLAGS = ("syn", "fin", "rst", "psh", "urg")
@@ -34,12 +34,14 @@ def payload_packets(spark, sf_dir):
         F.concat(F.lit("10.1."), F.array_position(kinds, F.col("kind")).cast("string"), F.lit(".7")).alias("src_ip"), F.lit("8.8.8.8").alias("dst_ip"),
         (1024 + group % 60000).cast("int").alias("src_port"), F.lit(53).alias("dst_port"), F.lit("UDP").alias("protocol"),
         (F.lit(T0) + group * 20_000_000 + (F.col("id") % 5) * 100_000).cast("long").alias("ts_us"), dns_message().alias("raw_payload"))
-    each = _spread(hellos(spark, sf_dir), "hello_id").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    # Only the keys of orders are dealt, before the view makes hellos of them
+    made = with_hello_bytes(view(spark, sf_dir, "v_hellos", lambda orders: _spread(orders, "o_orderkey")), "record")
+    each = made.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
     tls = each.select(
         F.concat(F.lit("10.2.0."), (F.col("hello_id") % 3).cast("string")).alias("src_ip"), F.lit("203.0.113.9").alias("dst_ip"),
         (1024 + F.col("hello_id") % 60000).cast("int").alias("src_port"), "dst_port", F.lit("TCP").alias("protocol"),
         (F.lit(T0) + F.col("hello_id") * 8_000_000 + F.col("n") * 100_000).cast("long").alias("ts_us"),
-        F.when(F.col("n") == 1, _hello_bytes()).otherwise(F.encode(F.lit("no hello"), "UTF-8")).alias("raw_payload"))
+        F.when(F.col("n") == 1, F.col("record")).otherwise(F.encode(F.lit("no hello"), "UTF-8")).alias("raw_payload"))
     size = F.length("raw_payload")
     return (names.unionByName(tls).withColumns({**{flag: F.lit(False) for flag in _FLAGS}, "ack": F.col("protocol") == "TCP", "payload_length": size, "packet_length": size + 54})
             # In traffic order; every packet has its own time within its 5-tuple
